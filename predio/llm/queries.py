@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from predio.llm import bpe, line_dedup, mixing
+from pyspark.sql import functions as F
+
+from predio.llm import bpe, line_dedup, mixing, pii, quality_rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(documents(spark, sf_dir)).drop("rejected_by")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.assign(documents(spark, sf_dir, "doc_id", "text", "source"))
     columns = ["doc_id", "size", "source_size", "target", "taken", "copies", "position"]
@@ -28,6 +34,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, sf_dir))
+    n = [F.size(pii.of_kinds(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = pii.of_kinds(F.col("spans"), *pii.KINDS)
+    return found.select("doc_id", *n, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 OP1_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -42,5 +55,37 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_mixing": op5_mixing, "op8_bpe": op8_bpe}
-ORACLES = {"op1_line_dedup": OP1_SQL}
+OP4_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+windows AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+repeated AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+features AS (
+  SELECT doc_id, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
+         len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words,
+         len(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS n_letters
+  FROM w LEFT JOIN covered USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM features)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_upper > n_letters
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 4 * n_lines) AS kept
+FROM judged"""
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_mixing": op5_mixing,
+    "op8_bpe": op8_bpe,
+    "op9_pii": op9_pii,
+}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL}
