@@ -1,0 +1,90 @@
+"""Personal data against a plain-Python reading of the same definition."""
+
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from predio.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+TRICKY = [
+    None, "", "a@b.c", "x@y", "a@b.c_x@d.e", "a.b@c.d.e.f@g.h", "a@b.c-d@e.f", "..@a.b", "a@b..c", "a@@b.c",
+    "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "1.2.3.004 0.0.0.0 1.2.3", "0255.1.1.1 00256.1.1.1", "12345678901234567890123.1.1.1",
+    "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111112", "41111111111111111111", "4111  111111111111", "card 378282246310005 or 378282246310006",
+    "378282246310005 alone", "+1 (437) 555-0689", "+12", "+1--2", "+123 4567 890 12345678", "++12 345 678 90+1 2345678", "+1 (2", "tel +56 9 8765 4321.",
+    "IBAN DE89370400440532013000 and GB82 WEST 1234 5698 7654 32", "DE88370400440532013000", "é日本 a@b.co 日 1.2.3.4 👩 4111111111111111",
+    " a@b.c  1.2.3.4", "9" * 500, "a" * 3000, "a@" * 500 + "b.c", "$0 \\1 a@b.c",
+]
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def valid(kind: str, value: str) -> bool:
+    n = re.sub("[^0-9]", "", value)
+    return {
+        "email": lambda: True,
+        "ip": lambda: all(int(x) <= 255 for x in value.split(".")),
+        "card": lambda: 16 <= len(n) <= 19 and luhn(n),
+        "phone": lambda: 8 <= len(n) <= 15,
+    }[kind]()
+
+
+def brute(text: str | None) -> list[tuple[str, int, int]]:
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text or "") if valid(k, m[0])]
+
+
+def found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(docs).collect()}
+
+
+def base(spans):
+    return [s for s in spans if s[0] in pii.KINDS]
+
+
+def test_base_spans_match_brute_force_on_tricky_texts(spark):
+    got = found(spark, TRICKY)
+    for i, text in enumerate(TRICKY):
+        assert base(got[i]) == brute(text), text
+
+
+def test_base_spans_match_brute_force_on_documents(spark):
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    got = found(spark, texts)
+    assert sum(map(len, got.values())) > 0
+    for i, text in enumerate(texts):
+        assert base(got[i]) == brute(text)
+
+
+def test_added_kinds(spark):
+    got = found(spark, TRICKY)
+    by_text = {t: [s for s in got[i] if s[0] not in pii.KINDS] for i, t in enumerate(TRICKY)}
+    assert len(by_text["IBAN DE89370400440532013000 and GB82 WEST 1234 5698 7654 32"]) == 2
+    assert not by_text["DE88370400440532013000"]
+    assert [s[:2] for s in by_text["card 378282246310005 or 378282246310006"]] == [("short_card", 5)]
+    assert not by_text["378282246310005 alone"]
+
+
+def test_mask_and_edges(spark):
+    docs = spark.createDataFrame([(1, "to a@b.co!", 5), (1, "to a@b.co!", 6), (None, None, None)], "doc_id long, text string, spans int")
+    assert sorted(r.masked_text for r in pii.mask(docs).collect()) == ["", "to ******!", "to ******!"]
+    assert pii.find_pii(docs.limit(0)).count() == 0
+    assert pii.find_pii(docs).count() == 3
+
+
+@pytest.mark.parametrize("value,ok", [("DE89370400440532013000", True), ("GB82 WEST 1234 5698 7654 32", True), ("GB82WEST12345698765433", False)])
+def test_mod97(spark, value, ok):
+    assert spark.range(1).select(pii.mod97(F.lit(value)).alias("x")).first().x is ok
