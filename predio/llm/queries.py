@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from predio.llm import bpe, fingerprint, line_dedup, lm_score, mixing, pii, quality_classifier, quality_rules
+from predio.llm import bpe, fingerprint, line_dedup, lm_score, minhash, mixing, pii, quality_classifier, quality_rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,6 +38,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), width=2)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -99,6 +103,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
