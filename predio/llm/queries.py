@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from predio.llm import bpe, fingerprint, line_dedup, lm_score, minhash, mixing, pii, quality_classifier, quality_rules
+from predio.llm import bpe, fingerprint, line_dedup, lm_score, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(documents(spark, sf_dir))
 
@@ -99,6 +103,7 @@ FROM judged"""
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lm_score": op3_lm_score,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
