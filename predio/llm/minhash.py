@@ -7,13 +7,17 @@ its slots are filled, as later levels can't be less. The offers of one element a
 correlated, which gives the estimate less variance than independent hashes.
 
 Documents with equal sets are one class, represented by the smallest doc_id. Classes that
-agree in a band meet in a bucket; the bucket's smallest member is its leader, and every
-member is compared with its leader on full sets. What is left are pairs of which one
-differs too much from the leader. With D(x) the elements in which x differs from the
-leader, such a pair can be linked only if D(a) and D(b) share more than
-(4 p_b + 5 r_b) / 9 elements (p_b: what b adds, r_b: what b lacks). So b is indexed by a
-prefix of D(b) long enough to hold one of them, which finds every such pair of a leader's
-members without forming all pairs. Pairs found are confirmed on full sets.
+agree in a band meet in a bucket; the member that meets most others over all its bands is
+the bucket's leader (the original of its copies, as a rule), and every member is compared
+with its leader on full sets. What is left are pairs of which one
+differs too much from the leader. Let b add p_b elements to its leader's n and lack r_b,
+and a likewise, a not being linked with the leader, so e = 5 r_a + 4 p_a - n > 0. Then a
+and b can be linked only if what they add and what they lack have more than
+(e + 4 p_b + 5 r_b) / 9 elements in common, both taken together. So either they add a
+common element, or they lack that many in common, which is possible only if b lacks more
+than it adds; then a prefix of what b lacks has one of them. Both are joins on an element
+of a leader's members that find every such pair without forming all. Pairs found are
+confirmed on full sets.
 
 Links are joined to components by union-find within tasks and then by star contraction
 over the tasks' results; nothing of it goes through the driver.
@@ -239,21 +243,27 @@ def _between_members(compared: DataFrame) -> DataFrame:
     def items(prefix: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lead, member, plus, minus in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
+                for lead, member, n, plus, minus in zip(*(batch.column(c) for c in ("lead", "member", "n_lead", "plus", "minus"))):
                     p, r = _u64(plus), _u64(minus)
-                    n = len(p) + len(r)
+                    n_p, n_r = len(p), len(r)
                     if prefix:
-                        n -= (4 * len(p) + 5 * len(r)) // 9
-                    found = np.concatenate([p, r])[:n].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, lead.as_py())), pa.array(found), pa.array(np.full(n, member.as_py()))], ["lead", "item", "member"])
+                        r = r[: max(0, n_r - (4 * n_p + 5 * n_r) // 9)]
+                    k = n_p + len(r)
+                    if k:
+                        ints = [pa.array(np.full(k, x)) for x in (5 * n_r + 4 * n_p - n.as_py(), n_p, n_r)]
+                        found = pa.array(np.concatenate([p, r]).view(np.int64))
+                        adds = pa.array(np.arange(k) < n_p)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, lead.as_py())), found, adds, pa.array(np.full(k, member.as_py())), *ints], ["lead", "item", "adds", "member", "e", "p", "r"])
 
         return run
 
-    kind = "lead long, item long, member long"
-    columns = ["lead", "member", "plus", "minus"]
-    left = crowd.where("not linked").select(*columns).mapInArrow(items(False), kind).withColumnRenamed("member", "a")
-    right = crowd.select(*columns).mapInArrow(items(True), kind).withColumnRenamed("member", "b")
-    pairs = left.join(right, ["lead", "item"]).where("a <> b").select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    kind = "lead long, item long, adds boolean, member long, e long, p long, r long"
+    columns = ["lead", "member", "n_lead", "plus", "minus"]
+    left = crowd.where("not linked").select(*columns).mapInArrow(items(False), kind).select("lead", "item", "adds", F.col("member").alias("a"), "e", F.col("r").alias("r_a"))
+    right = crowd.select(*columns).mapInArrow(items(True), kind).select("lead", "item", "adds", F.col("member").alias("b"), "p", F.col("r").alias("r_b"))
+    possible = F.col("adds") | (9 * F.least("r_a", "r_b") >= F.col("e") + 4 * F.col("p") + 5 * F.col("r_b"))
+    met = left.join(right, ["lead", "item", "adds"]).where(possible & (F.col("a") != F.col("b")))
+    pairs = met.select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +283,10 @@ def _between_members(compared: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Verified links (a, b), a < b, between classes: id, s1, s2, bands."""
     met = classes.select("id", F.explode("bands").alias("band"))
-    buckets = met.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
+    shared = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = checkpointed(met.join(shared, "band"))
+    rank = met.groupBy("id").agg(F.struct(F.sum("n").alias("n"), (-F.col("id")).alias("first")).alias("rank"))
+    buckets = met.join(rank, "id").groupBy("band").agg(F.max("rank").alias("top")).select("band", (-F.col("top.first")).alias("lead"))
     pairs = checkpointed(met.join(buckets, "band").where("id <> lead").select("lead", F.col("id").alias("member")).distinct())
     involved = pairs.select(F.col("lead").alias("id")).union(pairs.select("member")).distinct()
     sets = checkpointed(sets_of(docs, classes.select("id", "s1", "s2").join(involved, "id", "left_semi"), width))
