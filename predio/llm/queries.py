@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from predio.llm import bpe, fingerprint, line_dedup, lm_score, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup
+from predio.llm.common import small_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
