@@ -171,4 +171,7 @@ def apply_rules(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
         for feature in r.needs:
             d = _with_feature(d, feature, c("by").isNull() if k else None)
         d = d.withColumn(P + "by", F.when(c("by").isNotNull(), c("by")).when(r.rejects(), r.name))
-    return d.where(c("by").isNull()).select(*docs.columns)
+    # a row number keeps the filter above the cascade: pushed through it, the filter would
+    # hold every rule's features once for each mention
+    d = d.withColumn(P + "row", F.monotonically_increasing_id())
+    return d.where(c("by").isNull() & (c("row") >= 0)).select(*docs.columns)
