@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from predio.plans import estadisticas
+from predio.plans import actividad, estadisticas, inventario, medidas
 
-MODULES = (estadisticas,)
+MODULES = (estadisticas, inventario, actividad, medidas)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
