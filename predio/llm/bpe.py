@@ -18,15 +18,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pieces kept per Python worker with their ids; the cache is emptied beyond that.
+#: Chunks kept per Python worker with their ids; the cache is emptied beyond that.
 CACHE_ENTRIES = 400_000
 CACHE_LENGTH = 48
 #: The pre-tokenizer's pattern, white space by its Unicode property.
@@ -34,6 +36,10 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+|"
     r" ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+#: A chunk is a run without white space and one blank before it, or a run of white space. The
+#: pattern never matches across a chunk's end, so chunks can be encoded one by one.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNKS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def byte_symbols() -> dict[int, str]:
@@ -43,6 +49,21 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Encoded(dict):
+    """Chunk to its ids, packed; encodes what it doesn't hold."""
+
+    def __init__(self, coder: ByteBPE):
+        self.coder = coder
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = b"".join(i.to_bytes(4, "little") for piece in self.coder.pieces.findall(chunk) for i in self.coder.merge_piece(piece.encode()))
+        if len(chunk) <= CACHE_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = got
+        return got
+
+
 class ByteBPE:
     """Encoder and decoder of one vocabulary, given as the tokenizer's JSON text."""
 
@@ -60,7 +81,7 @@ class ByteBPE:
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(PATTERN)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Encoded(self)
 
     def merge_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece of text."""
@@ -87,27 +108,18 @@ class ByteBPE:
                 heapq.heappush(queue, (found[0], before, ids[before], new, found[1]))
         return [i for i in ids if i >= 0]
 
-    def packed(self, piece: str) -> bytes:
-        """Ids of one piece as little-endian unsigned 32-bit integers, through the cache."""
-        got = self.cache.get(piece)
-        if got is None:
-            got = b"".join(i.to_bytes(4, "little") for i in self.merge_piece(piece.encode()))
-            if len(piece) <= CACHE_LENGTH:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[piece] = got
-        return got
-
     def encode(self, text: str) -> bytes:
-        """All ids of a text, packed. Special tokens in the text become their ids."""
-        if self.split is None:
-            return b"".join(map(self.packed, self.pieces.findall(text)))
+        """All ids of a text as little-endian unsigned 32-bit integers. Special tokens in the
+        text become their ids."""
+        ids = self.cache.__getitem__
+        if not any(s in text for s in self.special):
+            return b"".join(map(ids, CHUNKS.findall(text)))
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += map(self.packed, self.pieces.findall(text[at : m.start()]))
+            out += map(ids, CHUNKS.findall(text[at : m.start()]))
             out.append(self.special[m[0]].to_bytes(4, "little"))
             at = m.end()
-        out += map(self.packed, self.pieces.findall(text[at:] if at else text))
+        out += map(ids, CHUNKS.findall(text[at:]))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -141,10 +153,14 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, texts: bool = False) -> Dat
                 ids = coder.encode(text.as_py() or "")
                 decoded = coder.decode(ids)
                 row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, list(memoryview(ids).cast("I")), decoded) if texts else row)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            cols = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds[: 5 if texts else 3]]
+                rows.append((*row, decoded, ids) if texts else row)
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string()]
+            names = ["n_tokens", "ids_sha256", "decoded_sha256", "decoded", "ids"]
+            columns = list(zip(*rows)) if rows else [()] * (5 if texts else 3)
+            cols = [pa.array(x, k) for x, k in zip(columns[:4], kinds)]
+            if texts:
+                ends = np.cumsum([0, *columns[0]], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(columns[4]), np.int32))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *names[: len(cols)]])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>, decoded string" if texts else ""))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + (", decoded string, ids array<int>" if texts else ""))

@@ -10,14 +10,14 @@ Documents with equal sets are one class, represented by the smallest doc_id. Cla
 agree in a band meet in a bucket; the member that meets most others over all its bands is
 the bucket's leader (the original of its copies, as a rule), and every member is compared
 with its leader on full sets. What is left are pairs of which one
-differs too much from the leader. Let b add p_b elements to its leader's n and lack r_b,
-and a likewise, a not being linked with the leader, so e = 5 r_a + 4 p_a - n > 0. Then a
-and b can be linked only if what they add and what they lack have more than
-(e + 4 p_b + 5 r_b) / 9 elements in common, both taken together. So either they add a
-common element, or they lack that many in common, which is possible only if b lacks more
-than it adds; then a prefix of what b lacks has one of them. Both are joins on an element
-of a leader's members that find every such pair without forming all. Pairs found are
-confirmed on full sets.
+differs too much from the leader. Call what a member adds to its leader's n elements and
+what it lacks of them its changes, d in number, and w = 4 * added + 5 * lacking. A member a
+isn't linked with the leader if w_a > n, and a and b are linked only if 9 times the number
+of their common changes is at least w_a + w_b - n. So each member's changes are ordered,
+rarest in the leader's crowd first, and a prefix of them is enough to find every such pair:
+b needs (w_b + 1) / 9 common changes at least, and a (w_a - n) / 5, as w_b is at least 4
+times what is common. Where two prefixes meet, the changes still to come bound what can be
+common, so few pairs are formed; those are confirmed on full sets.
 
 Links are joined to components by union-find within tasks and then by star contraction
 over the tasks' results; nothing of it goes through the driver.
@@ -240,29 +240,39 @@ def _between_members(compared: DataFrame) -> DataFrame:
     crowds = compared.join(apart.select("lead").distinct(), "lead", "left_semi").groupBy("lead").count().where("count > 1").select("lead")
     crowd = compared.join(crowds, "lead", "left_semi")
 
-    def items(prefix: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lead, member, n, plus, minus in zip(*(batch.column(c) for c in ("lead", "member", "n_lead", "plus", "minus"))):
-                    p, r = _u64(plus), _u64(minus)
-                    n_p, n_r = len(p), len(r)
-                    if prefix:
-                        r = r[: max(0, n_r - (4 * n_p + 5 * n_r) // 9)]
-                    k = n_p + len(r)
-                    if k:
-                        ints = [pa.array(np.full(k, x)) for x in (5 * n_r + 4 * n_p - n.as_py(), n_p, n_r)]
-                        found = pa.array(np.concatenate([p, r]).view(np.int64))
-                        adds = pa.array(np.arange(k) < n_p)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, lead.as_py())), found, adds, pa.array(np.full(k, member.as_py())), *ints], ["lead", "item", "adds", "member", "e", "p", "r"])
-
-        return run
-
-    kind = "lead long, item long, adds boolean, member long, e long, p long, r long"
-    columns = ["lead", "member", "n_lead", "plus", "minus"]
-    left = crowd.where("not linked").select(*columns).mapInArrow(items(False), kind).select("lead", "item", "adds", F.col("member").alias("a"), "e", F.col("r").alias("r_a"))
-    right = crowd.select(*columns).mapInArrow(items(True), kind).select("lead", "item", "adds", F.col("member").alias("b"), "p", F.col("r").alias("r_b"))
-    possible = F.col("adds") | (9 * F.least("r_a", "r_b") >= F.col("e") + 4 * F.col("p") + 5 * F.col("r_b"))
-    met = left.join(right, ["lead", "item", "adds"]).where(possible & (F.col("a") != F.col("b")))
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lead, member, plus, minus in zip(*(batch.column(c) for c in ("lead", "member", "plus", "minus"))):
+                p, r = _u64(plus), _u64(minus)
+                k = len(p) + len(r)
+                if k:
+                    found = pa.array(np.concatenate([p, mix(r + BASE)]).view(np.int64))  # lacking an element isn't adding it
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, lead.as_py())), found, pa.array(np.full(k, member.as_py()))], ["lead", "item", "member"])
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lead", "item", "member", "at", "d", "w", "n", "apart"]
+        for batch in batches:
+            for lead, member, n, plus, minus, few in zip(*(batch.column(c) for c in ("lead", "member", "n_lead", "plus", "minus", "few"))):
+                p, r, n = _u64(plus), _u64(minus), n.as_py()
+                d, w = len(p) + len(r), 4 * len(p) + 5 * len(r)
+                often = {x["item"]: x["n"] for x in few.as_py() or ()}
+                changes = np.concatenate([p, mix(r + BASE)]).view(np.int64)
+                changes = changes[np.lexsort((changes, [often.get(x, 1) for x in changes.tolist()]))]
+                need = -(-(w - n) // 5) if w > n else (w + 9) // 9
+                stop = d - need + 1
+                if stop > 0:
+                    cols = [pa.array(np.full(stop, lead.as_py())), pa.array(changes[:stop]), pa.array(np.full(stop, member.as_py())), pa.array(np.arange(stop)), *[pa.array(np.full(stop, x)) for x in (d, w, n)], pa.array(np.full(stop, w > n))]
+                    yield pa.RecordBatch.from_arrays(cols, names)
+
+    each = crowd.select("lead", "member", "plus", "minus").mapInArrow(items, "lead long, item long, member long")
+    counts = each.groupBy("lead", "item").agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(counts, ["lead", "item"]).groupBy("lead", "member").agg(F.collect_list(F.struct("item", "n")).alias("few"))  # at most a member's changes
+    listed = crowd.join(shared, ["lead", "member"], "left").select("lead", "member", "n_lead", "plus", "minus", "few")
+    prefixes = checkpointed(listed.mapInArrow(ordered, "lead long, item long, member long, at long, d long, w long, n long, apart boolean"))
+    left = prefixes.where("apart").select("lead", "item", F.col("member").alias("a"), F.col("at").alias("at_a"), F.col("d").alias("d_a"), F.col("w").alias("w_a"), "n")
+    right = prefixes.select("lead", "item", F.col("member").alias("b"), F.col("at").alias("at_b"), F.col("d").alias("d_b"), F.col("w").alias("w_b"))
+    possible = 9 * F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")) >= F.col("w_a") + F.col("w_b") - F.col("n")
+    met = left.join(right, ["lead", "item"]).where(possible & (F.col("a") != F.col("b")))
     pairs = met.select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
