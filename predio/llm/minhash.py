@@ -236,8 +236,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _between_members(compared: DataFrame) -> DataFrame:
     """Links (a, b) between members of one leader of which a isn't linked with it."""
-    apart = compared.where("not linked")
-    crowds = compared.join(apart.select("lead").distinct(), "lead", "left_semi").groupBy("lead").count().where("count > 1").select("lead")
+    crowds = compared.groupBy("lead").agg(F.count("*").alias("n"), F.bool_or(~F.col("linked")).alias("apart")).where("n > 1 and apart").select("lead")
     crowd = compared.join(crowds, "lead", "left_semi")
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
