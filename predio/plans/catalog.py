@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from predio.plans import actividad, estadisticas, inventario, medidas
+from predio.plans import actividad, consola, estadisticas, inventario, medidas
+from predio.streaming import continuas
 
-MODULES = (estadisticas, inventario, actividad, medidas)
+MODULES = (estadisticas, inventario, actividad, medidas, consola, continuas)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
