@@ -2,12 +2,15 @@
 
 Every word is predicted from the two words on either side of it by a small network
 (numpy, trained here). The network predicts the word's class; the word within its class
-comes from counts over all documents, and words outside the vocabulary are spelled by
-byte. A document's score is the sum of the log-probabilities of all its words.
+comes from counts over all documents, for every word of the corpus. The commonest words
+(the head) have classes learned from the words beside them; all others are classed by
+length, and their counts are joined by word. A document's score is the sum of the
+log-probabilities of all its words.
 
 Word counts are exact and cover the whole corpus. Every task trains on all words of its
 own documents from the same start; the tasks' weights are averaged by their words. What
-the driver holds has a fixed size: the vocabulary, the network and 257 byte counts.
+the driver holds has a fixed size: the head, the network and the classes' sums; the
+counts of the other words stay in a table, which is joined.
 
 Defined results: a null or empty text has no words and scores 0, its mean is null; a word
 at the edge of a text sees an edge class; rows with equal doc_id are scored each by its
@@ -26,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most words with an entry of their own, and the longest of these in bytes.
+from predio.llm.common import checkpointed
+
+#: Words of the head, whose classes are learned, and the longest of these in bytes.
 VOCABULARY, LONGEST = 8000, 64
 #: Classes: the edge, eight of other words by length, the commonest words alone, the rest by weight.
 CLASSES, OTHER, ALONE = 64, 8, 24
 HIDDEN, WINDOW = 16, 2
+#: Groups of classes that are told apart on each side when classes are learned, and rounds of that.
+BESIDE, MOVES = 16, 10
 BATCH, STEP, RATE, SEED = 4096, 512, 0.2, 5  # words scored together, and in a training step
 #: Words counted in a task before it hands its counts on.
 FLUSH = 300_000
@@ -61,55 +68,120 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Words, their classes and the log-probability of a word within its class."""
+    """The head's words, the classes and the log-probability of a word within its class."""
 
-    def __init__(self, words: list[tuple[bytes, int]], spelled: np.ndarray):
-        """words: the vocabulary with counts, commonest first; spelled: counts of the 256
-        bytes and of the words they spell, over all other words."""
+    def __init__(self, words: list[tuple[bytes, int]], others: np.ndarray, counts: DataFrame | None = None):
+        """words: the head with counts, commonest first; others: occurrences of all other
+        words in each of their classes; counts: the table of all words, on the driver only."""
         self.index = {w: i for i, (w, _) in enumerate(words)}
-        n = np.array([k for _, k in words], np.float64)
-        self.classes = np.zeros(len(n) + OTHER, np.int64)
-        self.classes[: min(ALONE, len(n))] = 1 + OTHER + np.arange(min(ALONE, len(n)))
+        self.n, self.others, self.counts = np.array([k for _, k in words], np.float64), others, counts
+        n = self.n
+        classes = np.zeros(len(n) + OTHER, np.int64)
+        classes[: min(ALONE, len(n))] = 1 + OTHER + np.arange(min(ALONE, len(n)))
         rest = n[ALONE:]
         if len(rest):
             share = (np.cumsum(rest) - rest / 2) / rest.sum()
-            self.classes[ALONE : len(n)] = 1 + OTHER + ALONE + np.minimum((share * (CLASSES - 1 - OTHER - ALONE)).astype(np.int64), CLASSES - 2 - OTHER - ALONE)
-        self.classes[len(n) :] = 1 + np.arange(OTHER)
-        mass = np.bincount(self.classes[: len(n)], n, CLASSES)
-        self.within = np.append(np.log(n / mass[self.classes[: len(n)]]) if len(n) else [], np.zeros(OTHER))
-        total = spelled + 1.0
-        self.byte = np.log(total / total.sum())  # the 257th: the end of a word
-
-    def codes(self, words: list[bytes]) -> tuple[np.ndarray, float]:
-        """Codes of the words, and the log-probability of spelling those that are outside."""
+            classes[ALONE : len(n)] = 1 + OTHER + ALONE + np.minimum((share * (CLASSES - 1 - OTHER - ALONE)).astype(np.int64), CLASSES - 2 - OTHER - ALONE)
+        classes[len(n) :] = 1 + np.arange(OTHER)
+        self.sort_into(classes)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}
+
+    def sort_into(self, classes: np.ndarray) -> None:
+        """Sets the classes. within: of a head word; of another, what its count's logarithm is added to."""
+        self.classes, v = classes, len(self.n)
+        mass = np.bincount(classes[:v], self.n, CLASSES)
+        self.within = np.append(np.log(self.n / mass[classes[:v]]) if v else [], -np.log(np.maximum(self.others, 1)))
+
+    def learn(self, beside: np.ndarray) -> None:
+        """Classes of the head's words by what stands beside them (k-means from the classes
+        by weight); beside: a row of counts per code. Words alone in a class stay so."""
+        v, first = len(self.n), 1 + OTHER + ALONE
+        if v <= ALONE:
+            return
+        x = beside[ALONE:v].reshape(v - ALONE, 2, BESIDE) + 0.5 * beside[ALONE:v].sum(0).reshape(2, BESIDE) / max(1, beside[ALONE:v].sum())
+        x = np.sqrt(x / np.maximum(x.sum(2, keepdims=True), 1e-9)).reshape(v - ALONE, -1)
+        n, at = self.n[ALONE:], self.classes[ALONE:v] - first
+        k = CLASSES - first
+        middle = np.zeros((k, x.shape[1]))
+        for _ in range(MOVES):
+            mass = np.bincount(at, n, k)
+            sums = np.stack([np.bincount(at, n * c, k) for c in x.T], 1)
+            middle = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1)[:, None], middle)
+            at = (np.square(middle).sum(1) - 2 * x @ middle.T).argmin(1)
+        classes = self.classes.copy()
+        classes[ALONE:v] = first + at
+        self.sort_into(classes)
+
+    def split(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Codes of the words, and the words outside the head."""
         known, v = self.index.get, len(self.index)
         codes = np.array([known(w, -1) for w in words], np.int64)
         outside = np.flatnonzero(codes < 0)
-        if not len(outside):
-            return codes, 0.0
         others = [words[i] for i in outside.tolist()]
         codes[outside] = v + np.minimum(np.fromiter(map(len, others), np.int64, len(others)) // 3, OTHER - 1)
-        counts = np.bincount(np.frombuffer(b"".join(others), np.uint8), minlength=256)
-        return codes, float(counts @ self.byte[:256] + len(others) * self.byte[256])
+        return codes, others
+
+    def codes(self, words: list[bytes]) -> tuple[np.ndarray, float]:
+        """Codes of one text's words, and the sum of the logarithms of the counts of those
+        outside the head, looked up in the table (on the driver)."""
+        codes, others = self.split(words)
+        if not others:
+            return codes, 0.0
+        times = self.counts.sparkSession.createDataFrame([(bytearray(w), k) for w, k in Counter(others).items()], "word binary, times long")
+        return codes, times.join(self.counts, "word").agg(F.sum(F.col("times") * F.log("n"))).first()[0]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
+    counts = checkpointed(counts)
     top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    inside = {bytes(r.word) for r in top}
+    others = np.zeros(OTHER)
+    for r in counts.groupBy(F.least(F.floor(F.length("word") / 3), F.lit(OTHER - 1)).alias("class")).agg(F.sum("n").alias("n")).collect():
+        others[r["class"]] = r.n
+    for r in top:
+        others[min(len(r.word) // 3, OTHER - 1)] -= r.n
+    return Vocabulary([(bytes(r.word), r.n) for r in top], others, counts)
+
+
+def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """Per document: row (a number of its own), doc_id, codes (two bytes for each word) and its
+    words outside the head with how often each occurs. Checkpointed."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in inside:
-                    total[:256] += np.bincount(np.frombuffer(word, np.uint8), minlength=256) * n
-                    total[256] += n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(total)], ["cell", "n"])
+            codes, tail, times, ends = [], [], [], [0]
+            for text in batch.column(1):
+                found, others = held.value.split(words_of(text.as_py()))
+                count = Counter(others)
+                codes.append(found.astype(np.uint16).tobytes())
+                tail.extend(count.keys())
+                times.extend(count.values())
+                ends.append(len(tail))
+            at = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((tail, pa.binary()), (times, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), *lists], ["doc_id", "codes", "tail", "times"])
 
-    spelled = np.zeros(257)
-    for r in counts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        spelled[r.cell] = r.n
-    return Vocabulary([(bytes(r.word), r.n) for r in top], spelled)
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, codes binary, tail array<binary>, times array<long>")
+    return checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _codes(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(c.as_buffer(), np.uint16).astype(np.int64) for c in column]
+
+
+def _groups(column: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
+    """The documents' codes in groups of about size words."""
+    group, n = [], 0
+    for c in _codes(column):
+        group.append(c)
+        n += len(c)
+        if n >= size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
 
 
 class Network:
@@ -168,31 +240,55 @@ def _contexts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([run[at + k] for k in (*range(-WINDOW, 0), *range(1, WINDOW + 1))]), run[at]
 
 
-def train(docs: DataFrame, words: Vocabulary) -> Network:
-    """Every task trains on its documents; the weights are averaged by words."""
-    held = docs.sparkSession.sparkContext.broadcast(words)
+def beside(rows: DataFrame, words: Vocabulary) -> np.ndarray:
+    """Per code, how often each group of classes stands on its left and on its right."""
+    held = rows.sparkSession.sparkContext.broadcast(words.classes * BESIDE // CLASSES)
+    names = [f"b{i}" for i in range(2 * BESIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = held.value
+        total = np.zeros(len(groups) * 2 * BESIDE, np.int64)
+        for batch in batches:
+            for group in _groups(batch.column(0), 16 * BATCH):
+                run = np.concatenate([x for c in group for x in ([-1], c)] + [[-1]]).astype(np.int64)
+                at = np.flatnonzero(run >= 0)
+                for side in (0, 1):
+                    near = run[at + 2 * side - 1]
+                    near = np.where(near < 0, 0, groups[near])
+                    total += np.bincount(run[at] * 2 * BESIDE + side * BESIDE + near, minlength=len(total))
+        total = total.reshape(-1, 2 * BESIDE)
+        some = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c) for c in total[some].T)], ["code", *names])
+
+    out = np.zeros((len(words.classes), 2 * BESIDE))
+    found = rows.select("codes").mapInArrow(run, "code int, " + ", ".join(f"{n} long" for n in names))
+    for r in found.groupBy("code").agg(*[F.sum(n).alias(n) for n in names]).collect():
+        out[r.code] = r[1:]
+    return out
+
+
+def train(docs: DataFrame, words: Vocabulary, rows: DataFrame | None = None) -> Network:
+    """Learns the classes of the head's words (set in words), then the network: every task
+    trains on its documents, and the weights are averaged by words. rows: coded(docs, words)."""
+    rows = coded(docs, words) if rows is None else rows
+    words.learn(beside(rows, words))
+    held = docs.sparkSession.sparkContext.broadcast(words.classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen = Network(), 0
         speed = [np.zeros_like(p) for p in net.parts]
         for batch in batches:
-            group: list[np.ndarray] = []
-            n = 0
-            for i, text in enumerate(batch.column(0)):
-                codes, _ = held.value.codes(words_of(text.as_py()))
-                group.append(held.value.classes[codes])
-                n += len(codes)
-                if n >= 16 * BATCH or i == batch.num_rows - 1:
-                    sides, middle = _contexts(group)
-                    for k in range(0, len(middle), STEP):
-                        net.train(sides[:, k : k + STEP], middle[k : k + STEP], speed)
-                    seen, group, n = seen + len(middle), [], 0
+            for group in _groups(batch.column(0), 16 * BATCH):
+                sides, middle = _contexts([held.value[c] for c in group])
+                for k in range(0, len(middle), STEP):
+                    net.train(sides[:, k : k + STEP], middle[k : k + STEP], speed)
+                seen += len(middle)
         flat = net.flat()
         if seen:
             cells = np.append(np.arange(len(flat)), -1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.append(flat * seen, float(seen)))], ["cell", "value"])
 
-    found = docs.select("text").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    found = rows.select("codes").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
     net = Network()
     if len(found):
         total = found.set_index("cell")["value"]
@@ -203,24 +299,29 @@ def train(docs: DataFrame, words: Vocabulary) -> Network:
 def lm_score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, pseudo_logprob, mean_logprob."""
     words = vocabulary(word_counts(docs))
-    net = train(docs, words)
-    held = docs.sparkSession.sparkContext.broadcast((words, net))
+    rows = coded(docs, words)
+    net = train(docs, words, rows)
+    held = docs.sparkSession.sparkContext.broadcast((words.classes, words.within, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = held.value
+        classes, within, net = held.value
         for batch in batches:
             n, total = [], []
-            for text in batch.column(1):
-                codes, score = words.codes(words_of(text.as_py()))
+            for codes in _codes(batch.column(2)):
+                score = 0.0
                 if len(codes):
-                    score += float(words.within[codes].sum())
-                    sides, middle = _contexts([words.classes[codes]])
+                    score += float(within[codes].sum())
+                    sides, middle = _contexts([classes[codes]])
                     for k in range(0, len(middle), BATCH):
                         _, z = net.forward(sides[:, k : k + BATCH])
                         score += float(z[np.arange(len(z)), middle[k : k + BATCH]].sum())
                 n.append(len(codes))
                 total.append(score)
-            mean = [t / k if k else None for t, k in zip(total, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "pseudo_logprob", "mean_logprob"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, pseudo_logprob double, mean_logprob double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["row", "doc_id", "n_tokens", "score"])
+
+    scored = rows.select("row", "doc_id", "codes").mapInArrow(run, "row long, doc_id long, n_tokens long, score double")
+    tail = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
+    tail = tail.join(words.counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("tail"))
+    total = F.col("score") + F.coalesce("tail", F.lit(0.0))
+    out = scored.join(tail, "row", "left").select("doc_id", "n_tokens", total.alias("pseudo_logprob"))
+    return out.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("pseudo_logprob") / F.col("n_tokens")))

@@ -51,3 +51,31 @@ def test_odd_rows_and_nothing(odd, nothing):
     assert len(out) == odd.count()
     assert all((r.mean_logprob is None and r.pseudo_logprob == 0) if not r.n_tokens else r.pseudo_logprob < 0 for r in out)
     assert L.lm_score(nothing).count() == 0
+
+
+def test_rare_words_have_their_own_probability(spark):
+    """Beyond the head, a word's probability comes from its own count, and sums to one in each class."""
+    rows = [(i, " ".join(f"w{j:05d}" for j in range(i, 9000, 3)) + " zzz9999" * (i + 1)) for i in range(3)]
+    rows += [(10, "aaa0001 " * 3), (11, "aaa0002 " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {bytes(r.word): r.n for r in L.word_counts(docs).collect()}
+    words = L.vocabulary(L.word_counts(docs))
+    outside = {w: n for w, n in counts.items() if w not in words.index}
+    assert len(outside) == len(counts) - L.VOCABULARY > 900
+    chance: dict[int, float] = {}
+    for w, n in outside.items():
+        code = len(words.index) + min(len(w) // 3, L.OTHER - 1)
+        chance[code] = chance.get(code, 0) + n * np.exp(words.within[code])
+    assert list(chance.values()) == [pytest.approx(1.0)] * len(chance)
+    assert words.codes([min(outside)] * 2)[1] == pytest.approx(2 * np.log(outside[min(outside)]))
+
+
+def test_classes_are_learned_from_what_stands_beside(spark):
+    """Words of equal frequency that stand in different places come into different classes."""
+    draw = np.random.default_rng(4)
+    text = lambda: " ".join(f"the{draw.integers(12)} noun{draw.integers(200)} of{draw.integers(12)} verb{draw.integers(200)}" for _ in range(400))
+    docs = spark.createDataFrame([(i, text()) for i in range(40)], "doc_id long, text string")
+    words = L.vocabulary(L.word_counts(docs))
+    L.train(docs, words)
+    classes = lambda kind: {int(words.classes[i]) for w, i in words.index.items() if w.startswith(kind) and i >= L.ALONE}
+    assert classes(b"noun") and classes(b"verb") and not classes(b"noun") & classes(b"verb")
