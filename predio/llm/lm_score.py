@@ -7,9 +7,10 @@ comes from counts over all documents, for every word of the corpus. The commones
 length, and their counts are joined by word. A document's score is the sum of the
 log-probabilities of all its words.
 
-Word counts are exact and cover the whole corpus. Every task trains on all words of its
-own documents from the same start; the tasks' weights are averaged by their words. What
-the driver holds has a fixed size: the head, the network and the classes' sums; the
+Word counts are exact and cover the whole corpus. One network learns from all words: the
+texts fall into ROUNDS slices by their hash, and in each round the gradients of one slice
+are summed over all tasks before the weights move, so neither files nor partitions matter
+but for rounding. What the driver holds has a fixed size: the head, the network and the classes' sums; the
 counts of the other words stay in a table, which is joined.
 
 Defined results: a null or empty text has no words and scores 0, its mean is null; a word
@@ -21,6 +22,7 @@ neither read nor returned.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +40,9 @@ CLASSES, OTHER, ALONE = 64, 8, 24
 HIDDEN, WINDOW = 16, 2
 #: Groups of classes that are told apart on each side when classes are learned, and rounds of that.
 BESIDE, MOVES = 16, 10
-BATCH, STEP, RATE, SEED = 4096, 512, 0.2, 5  # words scored together, and in a training step
+BATCH, RATE, SEED = 4096, 0.2, 5  # words that go through the network together
+#: Slices of the texts, and training steps: each takes a whole slice.
+ROUNDS = 32
 #: Words counted in a task before it hands its counts on.
 FLUSH = 300_000
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,15 +149,16 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """Per document: row (a number of its own), doc_id, codes (two bytes for each word) and its
+    """Per document: row (a number of its own), doc_id, slice, codes (two bytes for each word) and its
     words outside the head with how often each occurs. Checkpointed."""
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, tail, times, ends = [], [], [], [0]
-            for text in batch.column(1):
-                found, others = held.value.split(words_of(text.as_py()))
+            slices, codes, tail, times, ends = [], [], [], [], [0]
+            for text in batch.column(1).to_pylist():
+                slices.append(zlib.crc32((text or "").encode()) % ROUNDS)
+                found, others = held.value.split(words_of(text))
                 count = Counter(others)
                 codes.append(found.astype(np.uint16).tobytes())
                 tail.extend(count.keys())
@@ -161,9 +166,9 @@ def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
                 ends.append(len(tail))
             at = pa.array(ends, pa.int32())
             lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((tail, pa.binary()), (times, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), *lists], ["doc_id", "codes", "tail", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slices, pa.int32()), pa.array(codes, pa.binary()), *lists], ["doc_id", "slice", "codes", "tail", "times"])
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, codes binary, tail array<binary>, times array<long>")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, slice int, codes binary, tail array<binary>, times array<long>")
     return checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -217,19 +222,15 @@ class Network:
         z -= np.log(np.exp(z).sum(1, keepdims=True))
         return h, z
 
-    def train(self, sides: np.ndarray, middle: np.ndarray, speed: list[np.ndarray]) -> None:
-        """One step on a batch (Adagrad; speed: the sums of squares so far)."""
-        n = len(middle)
+    def gradient(self, sides: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """Of the summed loss over some words, flat."""
         h, z = self.forward(sides)
         g = np.exp(z)
-        g[np.arange(n), middle] -= 1
-        g /= n
+        g[np.arange(len(middle)), middle] -= 1
         back = (g @ self.out.T) * (1 - h * h)
         one = np.eye(CLASSES, dtype=np.float32)
         grads = [np.stack([one[s].T @ back for s in sides]), back.sum(0), h.T @ g, g.sum(0)]
-        for p, d, v in zip(self.parts, grads, speed):
-            v += d * d
-            p -= RATE * d / (np.sqrt(v) + 1e-6)
+        return np.concatenate([d.ravel() for d in grads]).astype(np.float64)
 
 
 def _contexts(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,31 +269,37 @@ def beside(rows: DataFrame, words: Vocabulary) -> np.ndarray:
 
 
 def train(docs: DataFrame, words: Vocabulary, rows: DataFrame | None = None) -> Network:
-    """Learns the classes of the head's words (set in words), then the network: every task
-    trains on its documents, and the weights are averaged by words. rows: coded(docs, words)."""
+    """Learns the classes of the head's words (set in words), then the network: in each round
+    one step (Adagrad) by the gradients of a slice, summed over all tasks. rows: coded(docs, words)."""
     rows = coded(docs, words) if rows is None else rows
     words.learn(beside(rows, words))
-    held = docs.sparkSession.sparkContext.broadcast(words.classes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = Network(), 0
-        speed = [np.zeros_like(p) for p in net.parts]
-        for batch in batches:
-            for group in _groups(batch.column(0), 16 * BATCH):
-                sides, middle = _contexts([held.value[c] for c in group])
-                for k in range(0, len(middle), STEP):
-                    net.train(sides[:, k : k + STEP], middle[k : k + STEP], speed)
-                seen += len(middle)
-        flat = net.flat()
-        if seen:
-            cells = np.append(np.arange(len(flat)), -1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.append(flat * seen, float(seen)))], ["cell", "value"])
-
-    found = rows.select("codes").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
-    net = Network()
-    if len(found):
-        total = found.set_index("cell")["value"]
-        net.load((total[total.index >= 0].sort_index() / total[-1]).to_numpy())
+    context = docs.sparkSession.sparkContext
+    held, net = context.broadcast(words.classes), Network()
+    weights = net.flat()
+    speed = np.zeros_like(weights)
+    for k in range(ROUNDS):
+        now = context.broadcast(net)
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total, seen = np.zeros(len(weights)), 0
+            for batch in batches:
+                for group in _groups(batch.column(0), 16 * BATCH):
+                    sides, middle = _contexts([held.value[c] for c in group])
+                    for i in range(0, len(middle), BATCH):
+                        total += now.value.gradient(sides[:, i : i + BATCH], middle[i : i + BATCH])
+                    seen += len(middle)
+            if seen:
+                cells = np.append(np.arange(len(total)), -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.append(total, float(seen)))], ["cell", "value"])
+
+        found = rows.where(F.col("slice") == k).select("codes").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+        now.unpersist()
+        if len(found):
+            total = found.set_index("cell")["value"]
+            step = (total[total.index >= 0].sort_index() / total[-1]).to_numpy()
+            speed += step * step
+            weights = weights - RATE * step / (np.sqrt(speed) + 1e-6)
+            net = Network().load(weights)
     return net
 
 

@@ -79,3 +79,10 @@ def test_classes_are_learned_from_what_stands_beside(spark):
     L.train(docs, words)
     classes = lambda kind: {int(words.classes[i]) for w, i in words.index.items() if w.startswith(kind) and i >= L.ALONE}
     assert classes(b"noun") and classes(b"verb") and not classes(b"noun") & classes(b"verb")
+
+
+def test_scores_do_not_depend_on_partitions(spark, small):
+    """One model whatever the layout: few large tasks, or many small ones in another order."""
+    docs = small.select("doc_id", "text")
+    one, many = ({r.doc_id: r.mean_logprob for r in L.lm_score(d).collect()} for d in (docs.coalesce(1), docs.repartition(40, "text")))
+    assert one == pytest.approx(many, rel=1e-4)
