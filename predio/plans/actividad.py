@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from predio.plans.estadisticas import VALIDOS_SQL, eventos_validos
@@ -128,18 +128,28 @@ def dedup_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _en_orden(b, "clave", decide)
 
 
-def limitador(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests that pass: at most TOPE_HORA admitted ones of a user in the hour before."""
+def _limitar(spark: SparkSession, sf_dir: str, clave: Column) -> DataFrame:
+    """Requests that pass: at most TOPE_HORA admitted ones of a key in the hour before."""
 
     def decide(pasados, us):
         pasados = [x for x in pasados or [] if us - x < ESPERA_US // 24]
         return (True, [*pasados, us]) if len(pasados) < TOPE_HORA else (False, pasados)
 
-    b = bitacora(spark, sf_dir).select(F.pmod("usuario", F.lit(5)).cast("string").alias("clave"), F.unix_micros(F.col("cuando").cast("timestamp")).alias("us"), "id")
+    b = bitacora(spark, sf_dir).select(clave.cast("string").alias("clave"), F.unix_micros(F.col("cuando").cast("timestamp")).alias("us"), "id")
     return _en_orden(b, "clave", decide)
 
 
-QUERIES = {f.__name__: f for f in (estadisticas_por_dia, estadisticas_por_semana, estadisticas_top, upsert_contadores, islas_eventos, estado_reserva, apartadas_overlay, ultimo_por_clave, historial_pagina, cola_trabajos, inbox_interesados, dedup_24h, limitador)}
+def limitador(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit over five groups of users (usuario modulo 5), not per user: five tasks at most."""
+    return _limitar(spark, sf_dir, F.pmod("usuario", F.lit(5)))
+
+
+def limitador_usuario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of each user by itself, as the reference has it per key."""
+    return _limitar(spark, sf_dir, F.col("usuario"))
+
+
+QUERIES = {f.__name__: f for f in (estadisticas_por_dia, estadisticas_por_semana, estadisticas_top, upsert_contadores, islas_eventos, estado_reserva, apartadas_overlay, ultimo_por_clave, historial_pagina, cola_trabajos, inbox_interesados, dedup_24h, limitador, limitador_usuario)}
 _DIAS = f"""(SELECT p.proyecto_id, d.dia, coalesce(n, 0) AS visitas FROM (SELECT DISTINCT proyecto_id FROM v) p
   CROSS JOIN (SELECT CAST(unnest(generate_series(min(dia), max(dia), INTERVAL 1 DAY)) AS DATE) AS dia FROM v) d
   LEFT JOIN (SELECT proyecto_id, dia, count(*) AS n FROM v GROUP BY ALL) c ON c.proyecto_id = p.proyecto_id AND c.dia = d.dia)"""

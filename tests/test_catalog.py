@@ -51,3 +51,14 @@ def test_limiter_equals_a_plain_loop(spark):
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_limiter_per_user_equals_a_plain_loop(spark):
+    passed: dict = {}
+    want = set()
+    for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").collect():
+        held = passed.setdefault(r.user_id, [])
+        if sum((r.ts - t).total_seconds() < 3600 for t in held) < 5:
+            held.append(r.ts)
+            want.add(r.event_id)
+    assert {r.id for r in catalog.QUERIES["limitador_usuario"](spark, SF).collect()} == want
