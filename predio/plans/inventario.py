@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from predio.plans.vistas import PARCELAS_SQL, parcelas
@@ -65,12 +65,18 @@ def _numeros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parcelas(spark, sf_dir).where("superficie % 6 <> 0").select(F.col("proyecto_id").alias("sector"), F.floor(F.col("id") / 25).cast("long").alias("numero"))
 
 
+def _dos_cifras(numero: Column) -> Column:
+    """At least two digits; longer numbers stay whole (lpad would cut them)."""
+    n = numero.cast("string")
+    return F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)
+
+
 def huecos_numeracion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that lack between two present ones of a sector, if at most HUECO_MAX lack."""
     sigue = F.lead("numero").over(Window.partitionBy("sector").orderBy("numero"))
     g = _numeros(spark, sf_dir).withColumn("sigue", sigue).where(F.col("sigue") - F.col("numero") - 1 <= HUECO_MAX).where("sigue > numero + 1")
     faltan = g.select("sector", F.explode(F.sequence(F.col("numero") + 1, F.col("sigue") - 1)).alias("numero"))
-    return faltan.select("sector", "numero", F.concat_ws("-", F.col("sector"), F.lpad(F.col("numero").cast("string"), 2, "0")).alias("rotulo"))
+    return faltan.select("sector", "numero", F.concat_ws("-", F.col("sector"), _dos_cifras(F.col("numero"))).alias("rotulo"))
 
 
 def grupos_numeracion(spark: SparkSession, sf_dir: str) -> DataFrame:

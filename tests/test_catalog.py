@@ -62,3 +62,9 @@ def test_limiter_per_user_equals_a_plain_loop(spark):
             held.append(r.ts)
             want.add(r.event_id)
     assert {r.id for r in catalog.QUERIES["limitador_usuario"](spark, SF).collect()} == want
+
+
+def test_labels_of_numbers_from_100_on(spark):
+    rows = catalog.QUERIES["huecos_numeracion"](spark, "/root/testdata/sf0.1").collect()
+    assert max(r.numero for r in rows) >= 100
+    assert all(r.rotulo == f"{r.sector}-{str(r.numero).zfill(2)}" for r in rows)
