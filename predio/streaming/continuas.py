@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,31 +49,48 @@ def contadores_continuos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def admitir(llegan: DataFrame) -> DataFrame:
     """Leads that are kept: 24 h and more after the last kept one of the same user and type.
 
-    State per key: when the last one was kept. Within a micro-batch, in order of time and id.
+    Rows id and cambio: 1 when a lead is kept, -1 when it is taken back because an older one
+    arrived later; the sum over an id says whether it is kept, in whatever order files come.
+    State per key: times, ids and kept or not of all its leads (17 bytes each), since one of
+    any age may still arrive. A late lead's key is judged again from that lead on.
     """
 
     def decidir(clave: tuple, partes: Iterator[pd.DataFrame], estado: GroupState) -> Iterator[pd.DataFrame]:
-        ultimo = estado.get[0] if estado.exists else None
-        filas = pd.concat(list(partes)).sort_values(["us", "id"])  # one key's rows of one bounded micro-batch
-        pasan = []
-        for us, i in zip(filas["us"], filas["id"]):
-            if ultimo is None or us - ultimo >= actividad.ESPERA_US:
-                ultimo = us
-                pasan.append(i)
-        if ultimo is not None:
-            estado.update((int(ultimo),))
-        yield pd.DataFrame({"id": pasan}, dtype="int64")
+        filas = pd.concat(list(partes))
+        us, ids, antes = filas["us"].to_numpy(np.int64), filas["id"].to_numpy(np.int64), np.zeros(len(filas), np.int8)
+        if estado.exists:
+            us, ids, antes = (np.concatenate([np.frombuffer(bytes(x), y.dtype), y]) for x, y in zip(estado.get, (us, ids, antes)))
+        nueva = np.arange(len(us)) >= len(us) - len(filas)
+        orden = np.lexsort((ids, us))
+        us, ids, antes, nueva = us[orden], ids[orden], antes[orden], nueva[orden]
+        desde = int(nueva.argmax())
+        ahora = antes.copy()
+        ahora[desde:] = 0
+        quedan = np.flatnonzero(antes[:desde])
+        ultimo = us[quedan[-1]] if len(quedan) else None
+        for i in range(desde, len(us)):
+            if ultimo is None or us[i] - ultimo >= actividad.ESPERA_US:
+                ultimo = us[i]
+                ahora[i] = 1
+        estado.update((us.tobytes(), ids.tobytes(), ahora.tobytes()))
+        cambia = np.flatnonzero(ahora != antes)
+        yield pd.DataFrame({"id": ids[cambia], "cambio": (ahora - antes)[cambia].astype("int32")})
 
     filas = llegan.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
-    return filas.groupBy("user_id", "event_type").applyInPandasWithState(decidir, "id long", "ultimo long", "append", GroupStateTimeout.NoTimeout)
+    return filas.groupBy("user_id", "event_type").applyInPandasWithState(decidir, "id long, cambio int", "us binary, ids binary, pasan binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def vigentes(cambios: DataFrame) -> DataFrame:
+    """The leads that are kept after all changes so far."""
+    return cambios.groupBy("id").agg(F.sum("cambio").cast("int").alias("n")).where("n > 0").select(F.explode(F.array_repeat("id", F.col("n"))).alias("id"))
 
 
 def dedup_24h_continuo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The admitted leads, as the stream wrote them."""
+    """The admitted leads: what the stream wrote, less what it took back."""
     base = shared_folder(spark)
     salida = admitir(eventos(spark, sf_dir)).writeStream.format("parquet").option("path", f"{base}/admitidos").option("checkpointLocation", f"{base}/control")
     salida.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("id long").parquet(f"{base}/admitidos")
+    return vigentes(spark.read.schema("id long, cambio int").parquet(f"{base}/admitidos"))
 
 
 QUERIES = {f.__name__: f for f in (contadores_continuos, dedup_24h_continuo)}
