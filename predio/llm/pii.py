@@ -28,6 +28,9 @@ MARK, STAND_IN = "\ue000", "\ue001"
 #: The patterns as asked for, with possessive repeats and checks of the character before,
 #: so that a long run is scanned once; the matches are the same.
 LOCAL = "A-Za-z0-9._%+-"
+NOT_BEFORE, NOT_AFTER = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
+#: 34 characters and a blank before each but the first four.
+LONGEST_IBAN = 64
 PATTERNS = {
     "email": rf"[{LOCAL}](?:(?<=\G.)|(?<![{LOCAL}][{LOCAL}]))[{LOCAL}]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}",
@@ -112,6 +115,29 @@ def _candidates(text: Column, kind: str) -> Column:
     return F.when(possible, found).otherwise(empty)
 
 
+def _account_numbers(text: Column) -> Column:
+    """As _candidates, for iban: of each start the longest end that passes mod-97, since what
+    follows a number may look like its end; none begins inside the one before."""
+    body = PATTERNS["iban"].removeprefix(NOT_BEFORE).removesuffix(NOT_AFTER)
+    pieces = F.split(F.regexp_replace(text, f"{NOT_BEFORE}(?={body}{NOT_AFTER})", MARK), MARK)
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.lit(0).cast("long").alias("free"), empty.alias("found"))
+
+    def longest(at: Column) -> Column:
+        first = lambda n: F.substring(text, (at + 1).cast("int"), n)
+        fits = lambda n: (F.length(first(n)) == n) & first(n).rlike(f"^{body}\\z") & ~F.substring(text, (at + n + 1).cast("int"), F.lit(1)).rlike("[A-Za-z0-9]")
+        return F.get(F.filter(F.sequence(F.lit(LONGEST_IBAN), F.lit(15), F.lit(-1)), lambda n: F.when(fits(n), mod97(first(n))).otherwise(False)), F.lit(0))
+
+    def step(acc: Column, piece: Column) -> Column:
+        at = acc["at"]
+        n = F.when(acc["inside"] & (at >= acc["free"]), longest(at))
+        one = F.array(F.struct(at.alias("start"), (at + n).alias("end"), F.substring(text, (at + 1).cast("int"), n).alias("value")))
+        found = F.when(n.isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"])
+        return F.struct((at + F.length(piece)).alias("at"), F.lit(True).alias("inside"), F.coalesce(at + n, acc["free"]).alias("free"), found.alias("found"))
+
+    return F.when(text.rlike(PATTERNS["iban"]), F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(empty)
+
+
 def _scored(text: Column, candidates: Column, kind: str) -> Column:
     """The valid candidates with their score, from the threshold on."""
 
@@ -132,7 +158,7 @@ def _spanned(docs: DataFrame) -> DataFrame:
     """doc_id, __text and spans."""
     marked = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(STAND_IN))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"), marked.alias("__marked"))
-    d = d.select("doc_id", "__text", "__marked", *[_candidates(F.col("__marked"), k).alias("__" + k) for k in PATTERNS])
+    d = d.select("doc_id", "__text", "__marked", *[(_account_numbers(F.col("__marked")) if k == "iban" else _candidates(F.col("__marked"), k)).alias("__" + k) for k in PATTERNS])
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
     spans = F.concat(*[F.when(F.size("__" + k) > 0, _scored(F.col("__marked"), F.col("__" + k), k)).otherwise(none) for k in PATTERNS])
     return d.select("doc_id", "__text", spans.alias("spans"))

@@ -88,3 +88,19 @@ def test_mask_and_edges(spark):
 @pytest.mark.parametrize("value,ok", [("DE89370400440532013000", True), ("GB82 WEST 1234 5698 7654 32", True), ("GB82WEST12345698765433", False)])
 def test_mod97(spark, value, ok):
     assert spark.range(1).select(pii.mod97(F.lit(value)).alias("x")).first().x is ok
+
+
+@pytest.mark.parametrize(
+    "text,spans",
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", [(5, 32)]),
+        ("DE89370400440532013000 2024 paid", [(0, 22)]),
+        ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 OK", [(0, 27), (28, 55)]),
+        ("to DE88 3704 0044 0532 0130 00 BIC", []),
+    ],
+)
+def test_account_number_ends_before_what_follows(spark, text, spans):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(s.start, s.end) for s in pii.find_pii(docs).first().spans if s.kind == "iban"] == spans
+    hidden = "".join("*" if any(a <= i < b for a, b in spans) else c for i, c in enumerate(text))
+    assert not spans or pii.mask(docs).first().masked_text == hidden
