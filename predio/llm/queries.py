@@ -77,6 +77,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+firsts AS (SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE doc_id > first_doc),
+opened AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM gone),
+numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM opened),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, span),
+kept AS (
+  SELECT doc_id, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY b), 0) + 1,
+                        2 * (a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY b), 0))) AS piece, a, b FROM spans JOIN d USING (doc_id)),
+joined AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY a) AS pieces, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last_b FROM kept GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(last_b, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN joined USING (doc_id)"""
+
 OP4_SQL = f"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -115,4 +135,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL}
