@@ -17,7 +17,10 @@ of their common changes is at least w_a + w_b - n. So each member's changes are
 rarest in the leader's crowd first, and a prefix of them is enough to find every such pair:
 b needs (w_b + 1) / 9 common changes at least, and a (w_a - n) / 5, as w_b is at least 4
 times what is common. Where two prefixes meet, the changes still to come bound what can be
-common, so few pairs are formed; those are confirmed on full sets.
+common, so few pairs are formed; those are confirmed on full sets. Pairs within a cluster
+aren't listed: of the members that meet in a change, one that is apart from the leader
+leads the others again, and only members that are still in different components after
+`ROUNDS` such rounds are paired.
 
 Links are joined to components by union-find within tasks and then by star contraction
 over the tasks' results; nothing of it goes through the driver.
@@ -36,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,10 @@ from predio.llm.common import checkpointed
 SLOTS, BANDS = 252, 42
 SHINGLE = 5
 THRESHOLD = (4, 5)
+#: Rounds of new leaders before the members left are paired; they save pairs, the result is the same.
+ROUNDS = 2
+#: A key with more than the SPREADth part of a table's rows is dealt over SPREAD tasks; there are fewer than SPREAD such keys.
+SPREAD = 64
 #: Bytes of text, and elements with a permutation each, that a task works on at a time.
 PIECE, ELEMENTS = 1 << 21, 60_000
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -214,6 +222,17 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 COMPARED = "lead long, member long, n_lead long, n_member long, linked boolean, plus binary, minus binary"
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """big joined with small, which has one row per key and its number `n` of rows in big
+    (of `total`, about); frequent keys are salted. n isn't returned."""
+    often = F.col("n") * SPREAD > total
+    hot = small.where(often).select(*keys, F.lit(True).alias("__hot"))  # fewer than SPREAD rows
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*big.columns), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot")
+    copies = F.explode(F.when(often, F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    return dealt.join(small.withColumn("__salt", copies).drop("n"), [*keys, "__salt"]).drop("__salt")
+
+
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (lead, member) with what the member adds to its leader's set and lacks of it."""
 
@@ -229,8 +248,9 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["lead", "member", "n_lead", "n_member", "linked", "plus", "minus"])
 
     members = sets.select(F.col("id").alias("member"), F.col("items").alias("member_items"))
-    leads = sets.select(F.col("id").alias("lead"), F.col("items").alias("lead_items"))
-    both = pairs.join(members, "member").join(leads, "lead")
+    crowd = pairs.groupBy("lead").agg(F.count("*").alias("n"))
+    leads = crowd.join(sets.select(F.col("id").alias("lead"), F.col("items").alias("lead_items")), "lead")
+    both = spread_join(pairs.join(members, "member"), leads, ["lead"], pairs.count())
     return both.select("lead", "member", "lead_items", "member_items").mapInArrow(run, COMPARED)
 
 
@@ -268,12 +288,6 @@ def _between_members(compared: DataFrame) -> DataFrame:
     shared = each.join(counts, ["lead", "item"]).groupBy("lead", "member").agg(F.collect_list(F.struct("item", "n")).alias("few"))  # at most a member's changes
     listed = crowd.join(shared, ["lead", "member"], "left").select("lead", "member", "n_lead", "plus", "minus", "few")
     prefixes = checkpointed(listed.mapInArrow(ordered, "lead long, item long, member long, at long, d long, w long, n long, apart boolean"))
-    left = prefixes.where("apart").select("lead", "item", F.col("member").alias("a"), F.col("at").alias("at_a"), F.col("d").alias("d_a"), F.col("w").alias("w_a"), "n")
-    right = prefixes.select("lead", "item", F.col("member").alias("b"), F.col("at").alias("at_b"), F.col("d").alias("d_b"), F.col("w").alias("w_b"))
-    possible = 9 * F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")) >= F.col("w_a") + F.col("w_b") - F.col("n")
-    met = left.join(right, ["lead", "item"]).where(possible & (F.col("a") != F.col("b")))
-    pairs = met.select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
@@ -285,8 +299,41 @@ def _between_members(compared: DataFrame) -> DataFrame:
             keep = np.array(good, bool)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    side = lambda s: crowd.select("lead", F.col("member").alias(s), "n_lead" if s == "a" else F.lit(0).alias("_"), F.col("n_member").alias(f"n_{s}"), F.col("plus").alias(f"plus_{s}"), F.col("minus").alias(f"minus_{s}"))
-    return pairs.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"]).mapInArrow(confirm, "a long, b long")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        side = lambda s: crowd.select("lead", F.col("member").alias(s), "n_lead" if s == "a" else F.lit(0).alias("_"), F.col("n_member").alias(f"n_{s}"), F.col("plus").alias(f"plus_{s}"), F.col("minus").alias(f"minus_{s}"))
+        one = pairs.select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return checkpointed(one.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"]).mapInArrow(confirm, "a long, b long"))
+
+    known = compared.where("linked").select(F.col("lead").alias("a"), F.col("member").alias("b"))
+    total = prefixes.count()
+    found = [known.where("false")]
+    for turn in range(ROUNDS + 1):
+        if turn:
+            known = known.unionByName(found[-1])
+            label = components(known)
+        else:
+            label = known.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component_id"))
+        named = prefixes.join(label.withColumnsRenamed({"id": "member", "component_id": "c"}), "member", "left").withColumn("c", F.coalesce("c", "member"))
+        open_lists = named.groupBy("lead", "item").agg(
+            F.count("*").alias("n"),
+            F.min_by(F.struct("member", "c"), F.when(F.col("apart"), F.xxhash64("member", F.lit(turn)))).alias("head"),
+            F.min("c").alias("low"), F.max("c").alias("high"),
+        ).where("head is not null and low < high").select("lead", "item", "n", "head")
+        open_lists = checkpointed(open_lists)
+        if open_lists.isEmpty():
+            break
+        if turn < ROUNDS:
+            met = spread_join(named.select("lead", "item", "member", "c"), open_lists, ["lead", "item"], total)
+            stars = met.where("member <> head.member and c <> head.c").select("lead", F.col("head.member").alias("a"), F.col("member").alias("b"))
+            found.append(confirmed(stars))
+            continue
+        left = named.join(open_lists.drop("n", "head"), ["lead", "item"], "left_semi").where("apart")
+        left = left.select("lead", "item", F.col("member").alias("a"), F.col("c").alias("c_a"), F.col("at").alias("at_a"), F.col("d").alias("d_a"), F.col("w").alias("w_a"), "n")
+        right = named.select("lead", "item", F.col("member").alias("b"), F.col("c").alias("c_b"), F.col("at").alias("at_b"), F.col("d").alias("d_b"), F.col("w").alias("w_b"))
+        possible = 9 * F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")) >= F.col("w_a") + F.col("w_b") - F.col("n")
+        met = left.join(right, ["lead", "item"]).where(possible & (F.col("c_a") != F.col("c_b")))
+        found.append(confirmed(met.select("lead", "a", "b")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -332,18 +379,19 @@ def _local_unions(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, component_id (smallest id reachable) of every node of the edges (a, b)."""
     state, before = checkpointed(_local_unions(edges).distinct()), None
+    total = state.count()
     while True:
         # large star: larger neighbours go to the smallest of the neighbourhood; small star: the rest does
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = spread_join(both.where("b > a"), least, ["a"], total).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         state = checkpointed(small)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return state.select(F.col("b").alias("id"), F.col("a").alias("component_id"))
-        before = now
+        before, total = now, now[0]
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:

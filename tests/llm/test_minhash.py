@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from brute import components, shingles
+from pyspark.sql import functions as F
 
 from predio.llm import minhash as N
 
@@ -62,3 +63,25 @@ def test_sets_have_the_right_size():
     for text in ("", "a", "A b a B a b", "x y z"):
         for width in (2, 5):
             assert len(next(N.shingle_sets([text], width))) == len(shingles(text, width))
+
+
+def test_links_within_a_cluster_grow_in_proportion(spark):
+    """Two clusters, 0.74 alike: the second one's members are apart from the first one's leader."""
+    counts = {}
+    for n in (40, 160):
+        draw = random.Random(5)
+        first = [f"a{i}" for i in range(200)]
+        second = first[:170] + [f"b{i}" for i in range(30)]
+        rows = []
+        for k in range(2 * n):
+            words = list(first if k % 3 else second) if k else list(first)
+            for _ in range(3):
+                words[draw.randrange(160)] = f"x{draw.randrange(10_000)}"
+            rows.append((k, " ".join(words)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        if n == 160:
+            assert got(df, 1) == components(rows, 1)
+        signed = N.signatures(df, 1)
+        classes = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+        counts[n] = N.links(df, classes, 1).count()
+    assert counts[160] < 8 * counts[40]  # 16 times, if each pair had a link
