@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster shares (spark.checkpoint.dir), lineage cut.
 
-    A folder of our own is set only where the session has none, as in local tests.
+    A folder of our own is set only in a local session that has none, as in tests; a cluster
+    must name one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows from now on: texts may be long, and a Python
-    worker holds a batch several times over."""
+    """Arrow batches of at most so many rows from now on in this session: texts may be long,
+    and a Python worker holds a batch several times over. Queries run when their rows are
+    asked for, so the setting stays; a lower one of the caller's is left as it is."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)

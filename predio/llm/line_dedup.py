@@ -120,10 +120,15 @@ class CuckooFilter:
     def contains(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         mark, a, b = self._places(k1, k2)
         found = (self.table[a] == mark[:, None]).any(1) | (self.table[b] == mark[:, None]).any(1)
-        for place, held in self.over:
-            found |= (mark == held) & ((a == place) | (b == place))
+        if self.over:
+            code = np.array([(place << 16) | held for place, held in self.over], np.int64)
+            found |= np.isin((a << 16) | mark, code) | np.isin((b << 16) | mark, code)
         return found
 
+    def full(self) -> bool:
+        """Whether keys that were added since it was sized crowd it."""
+        return int((self.table > 0).sum()) + len(self.over) > 0.95 * self.table.size
+
     def dump(self) -> bytes:
         over = np.array(self.over, np.int64).reshape(-1, 2)
         return np.int64(self.n).tobytes() + self.table.tobytes() + over.tobytes()
@@ -188,8 +193,9 @@ def shard_filters(repeated: DataFrame, n_shards: int) -> DataFrame:
     return repeated.select(F.pmod(F.shiftright("k1", 40), F.lit(n_shards)).cast("int").alias("shard"), "k1", "k2").groupBy("shard").applyInArrow(build, "shard int, filter binary")
 
 
-def update_filters(filters: DataFrame, crossed: DataFrame, n_shards: int) -> DataFrame:
-    """Filters after keys crossed the threshold. crossed: k1, k2, enters (boolean)."""
+def update_filters(filters: DataFrame, crossed: DataFrame, repeated: DataFrame, n_shards: int) -> DataFrame:
+    """Filters after keys crossed the threshold. crossed: k1, k2, enters (boolean). A filter
+    that is full is made anew, larger, from its shard's keys in `repeated`."""
     moved = crossed.select(F.pmod(F.shiftright("k1", 40), F.lit(n_shards)).cast("int").alias("shard"), "k1", "k2", "enters")
 
     def change(old: pa.Table, new: pa.Table) -> pa.Table:
@@ -197,9 +203,59 @@ def update_filters(filters: DataFrame, crossed: DataFrame, n_shards: int) -> Dat
         for a, b, enters in sorted(zip(*(new[c].to_pylist() for c in ("k1", "k2", "enters")))):
             (made.insert if enters else made.delete)(a, b)
         shard = (old if old.num_rows else new)["shard"].slice(0, 1)
-        return pa.table({"shard": shard, "filter": pa.array([made.dump()], pa.binary())})
+        return pa.table({"shard": shard, "filter": pa.array([None if made.full() else made.dump()], pa.binary())})
+
+    changed = checkpointed(filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(change, "shard int, filter binary"))
+    crowded = repeated.withColumn("shard", F.pmod(F.shiftright("k1", 40), F.lit(n_shards)).cast("int")).join(changed.where("filter is null").select("shard"), "shard", "left_semi")
+    return changed.where("filter is not null").unionByName(shard_filters(crowded, n_shards))
+
+
+class LineIndex:
+    """The reference counts of all long lines and the filters of those that repeat.
+
+    `add` and `delete` give the index after a change of the documents: the counts change by
+    those of the documents alone, and keys that thereby cross the threshold enter or leave
+    their shard's filter. So deleting what was added gives the same counts and answers.
+    """
+
+    def __init__(self, counts: DataFrame, filters: DataFrame, n_shards: int, min_chars: int, min_docs: int):
+        self.counts, self.filters, self.n_shards, self.min_chars, self.min_docs = counts, filters, n_shards, min_chars, min_docs
 
-    return filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(change, "shard int, filter binary")
+    @classmethod
+    def build(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_shards: int | None = None) -> LineIndex:
+        """n_shards: default by the number of repeated keys; give more for an index that will grow."""
+        counts = reference_counts(postings(docs, min_chars))
+        repeated = checkpointed(counts.where(F.col("refs") >= min_docs))
+        n_shards = n_shards or max(1, -(-repeated.count() // SHARD_KEYS))
+        made = cls(counts, shard_filters(repeated, n_shards), n_shards, min_chars, min_docs)
+        made._repeated = repeated
+        return made
+
+    @property
+    def repeated(self) -> DataFrame:
+        return getattr(self, "_repeated", None) or self.counts.where(F.col("refs") >= self.min_docs)
+
+    def _changed(self, counts: DataFrame) -> LineIndex:
+        counts = checkpointed(counts)
+        before, after = self.counts.select("k1", "k2", F.col("refs").alias("before")), counts.select("k1", "k2", F.col("refs").alias("after"))
+        often = lambda c: F.coalesce(F.col(c), F.lit(0)) >= self.min_docs
+        crossed = before.join(after, ["k1", "k2"], "full").where(often("before") != often("after")).select("k1", "k2", often("after").alias("enters"))
+        filters = update_filters(self.filters, crossed, counts.where(F.col("refs") >= self.min_docs), self.n_shards)
+        return LineIndex(counts, checkpointed(filters), self.n_shards, self.min_chars, self.min_docs)
+
+    def add(self, docs: DataFrame) -> LineIndex:
+        return self._changed(insert_documents(self.counts, docs, self.min_chars))
+
+    def delete(self, gone: DataFrame, rest: DataFrame) -> LineIndex:
+        """rest: the documents that stay."""
+        return self._changed(delete_documents(self.counts, gone, rest, self.min_chars))
+
+    def lost(self, docs: DataFrame) -> DataFrame:
+        """doc_id and the packed keys of which the document, one of the index, loses its lines."""
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        maybe = _maybe_repeated(postings(docs, self.min_chars), self.filters, self.n_shards, max(1, -(-4 * partitions // self.n_shards)))
+        found = maybe.join(self.repeated, ["k1", "k2"]).where("doc_id < last_doc")
+        return found.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("lost"))
 
 
 def _maybe_repeated(posts: DataFrame, filters: DataFrame, n_shards: int, salts: int) -> DataFrame:
@@ -218,24 +274,14 @@ def _maybe_repeated(posts: DataFrame, filters: DataFrame, n_shards: int, salts:
     return p.groupBy("shard", "salt").cogroup(f.groupBy("shard", "salt")).applyInArrow(probe, KEYS + ", doc_id long")
 
 
-def _drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """doc_id and the packed keys of which the document loses its lines."""
-    posts = postings(docs, min_chars)
-    repeated = reference_counts(posts).where(F.col("refs") >= min_docs)
-    repeated = checkpointed(repeated)
-    n = repeated.count()
-    n_shards = max(1, -(-n // SHARD_KEYS))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filters = shard_filters(repeated, n_shards)
-    maybe = _maybe_repeated(posts, filters, n_shards, max(1, -(-4 * partitions // n_shards)))
-    lost = maybe.join(repeated, ["k1", "k2"]).where("doc_id < last_doc")
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("__lost"))
-
-
-def _flagged(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """docs with __lost last: the keys whose lines go, or null."""
-    lost = _drops(docs, min_chars, min_docs).withColumnRenamed("doc_id", "__lost_id")
-    return docs.join(lost, docs["doc_id"] == lost["__lost_id"], "left").select(*[docs[c] for c in docs.columns], "__lost")
+def _flagged(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """docs with a further last column: the keys whose lines go, or null."""
+    name = "lost"
+    while name in [x.lower() for x in docs.columns]:
+        name += "_"
+    lost = index.lost(docs).withColumnRenamed("doc_id", "lost_id")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))  # whatever the columns' names
+    return rows.join(lost, F.col("id") == F.col("lost_id"), "left").select("row.*", F.col("lost").alias(name))
 
 
 def _keep(texts: pa.Array, lost: pa.Array, min_chars: int) -> Iterator[tuple[str, int, int]]:
@@ -253,8 +299,12 @@ def _keep(texts: pa.Array, lost: pa.Array, min_chars: int) -> Iterator[tuple[str
         yield "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop), int(n[i]), len(drop)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped, kept_sha256, kept_text."""
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index: LineIndex | None = None) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, kept_sha256, kept_text. index: of
+    documents that docs are part of; default: of docs."""
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    index = index or LineIndex.build(docs, min_chars, min_docs)
+    min_chars = index.min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +312,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
             cols = [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"])
 
-    return _flagged(docs.selectExpr("cast(doc_id as long) doc_id", "text"), min_chars, min_docs).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    return _flagged(docs, index).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
 
 
 def dedup_texts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -276,4 +326,4 @@ def dedup_texts(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             cols = [pa.array(kept, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return _flagged(docs, min_chars, min_docs).mapInArrow(run, docs.schema)
+    return _flagged(docs, LineIndex.build(docs, min_chars, min_docs)).mapInArrow(run, docs.schema)

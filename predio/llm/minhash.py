@@ -55,6 +55,8 @@ THRESHOLD = (4, 5)
 ROUNDS = 2
 #: A key with more than the SPREADth part of a table's rows is dealt over SPREAD tasks; there are fewer than SPREAD such keys.
 SPREAD = 64
+#: Pairs up to which their members' ids are broadcast, at 32 bytes each.
+FEW = 100_000
 #: Bytes of text, and elements with a permutation each, that a task works on at a time.
 PIECE, ELEMENTS = 1 << 21, 60_000
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -300,8 +302,10 @@ def _between_members(compared: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda s: crowd.select("lead", F.col("member").alias(s), "n_lead" if s == "a" else F.lit(0).alias("_"), F.col("n_member").alias(f"n_{s}"), F.col("plus").alias(f"plus_{s}"), F.col("minus").alias(f"minus_{s}"))
-        one = pairs.select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one = checkpointed(pairs.select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ids = one.select("lead", F.col("a").alias("member")).union(one.select("lead", "b")).distinct()
+        needed = crowd.join(F.broadcast(ids) if one.count() <= FEW else ids, ["lead", "member"], "left_semi")
+        side = lambda s: needed.select("lead", F.col("member").alias(s), "n_lead" if s == "a" else F.lit(0).alias("_"), F.col("n_member").alias(f"n_{s}"), F.col("plus").alias(f"plus_{s}"), F.col("minus").alias(f"minus_{s}"))
         return checkpointed(one.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"]).mapInArrow(confirm, "a long, b long"))
 
     known = compared.where("linked").select(F.col("lead").alias("a"), F.col("member").alias("b"))
@@ -310,10 +314,7 @@ def _between_members(compared: DataFrame) -> DataFrame:
     for turn in range(ROUNDS + 1):
         if turn:
             known = known.unionByName(found[-1])
-            label = components(known)
-        else:
-            label = known.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component_id"))
-        named = prefixes.join(label.withColumnsRenamed({"id": "member", "component_id": "c"}), "member", "left").withColumn("c", F.coalesce("c", "member"))
+        named = prefixes.join(components(known).withColumnsRenamed({"id": "member", "component_id": "c"}), "member", "left").withColumn("c", F.coalesce("c", "member"))
         open_lists = named.groupBy("lead", "item").agg(
             F.count("*").alias("n"),
             F.min_by(F.struct("member", "c"), F.when(F.col("apart"), F.xxhash64("member", F.lit(turn)))).alias("head"),

@@ -115,6 +115,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, most: int = MOST_PASSES
     rank = Window.partitionBy("__id").orderBy("__source", "__tie")
     a = a.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), "copies", at.alias("__at"))
     a = a.select("__id", F.row_number().over(rank).alias("__n"), "copies", "__at").where("copies > 0").select(F.col("__id").alias("__i"), F.col("__n").alias("__k"), F.explode("__at").alias("__at"))
-    d = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source"), "__tie": F.xxhash64("text")}).withColumn("__n", F.row_number().over(rank))
+    d = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64("text").alias("__tie"))
+    d = d.withColumn("__n", F.row_number().over(rank))
     joined = d.join(a, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__n") == F.col("__k")))
-    return joined.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").select(*docs.columns)
+    return joined.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").select("__row.*")

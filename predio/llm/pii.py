@@ -1,13 +1,17 @@
 """Personal data in texts: patterns propose spans, checksums confirm, context adjusts.
 
 Patterns find candidates of each kind; a validator (octet range, digit count, Luhn,
-mod-97) drops what fails; a score from the kind, the checksum and words near the span
-decides on the kinds that aren't certain by themselves. Everything is DataFrame
+mod-97, mod-11, ABA) drops what fails; words near the span raise its score or lower it (a
+commit's digest isn't a password, a serial number isn't a card). Base kinds always stay, as
+asked for, and carry their score; an added kind counts from `THRESHOLD` on. Everything is DataFrame
 functions: matches are wrapped in a mark, the text is split at the marks, and the pieces'
 lengths give the offsets.
 
 Kinds, in order: email, ip, card (16 to 19 digits, Luhn), phone, then what the method
-adds: iban (mod-97) and short_card (13 to 15 digits, Luhn, with a word for cards nearby).
+adds: iban (mod-97), short_card (13 to 15 digits, Luhn, with a word for cards nearby), key
+(tokens with a vendor's prefix), secret (32 to 64 hexadecimal digits next to a word for
+secrets), ssn (three, two and four digits in the ranges given out), rut (Chilean identity
+number, mod-11) and routing (nine digits, ABA checksum, with a word for banks nearby).
 
 Defined results: a null text is the empty text; offsets are code points, end exclusive;
 matches of one kind don't overlap, those of different kinds may; rows with equal doc_id
@@ -38,6 +42,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "short_card": r"(?<![0-9.])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9]|[\x20.-][0-9])",
+    "key": r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9_])",
+    "secret": r"(?<![A-Za-z0-9_])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9_])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "rut": r"(?<![0-9.-])[0-9]{1,2}(?:\.?[0-9]{3}){2}-[0-9Kk](?![A-Za-z0-9-])",
+    "routing": r"(?<![0-9.-])[0-9]{9}(?![0-9.-])",
 }
 #: A text without this has no match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
@@ -50,10 +59,29 @@ CONTEXT = {
     "phone": r"(?i)tel|phone|call|mobile|fax|llam",
     "iban": r"(?i)iban|bank|account|konto|compte|cuenta",
     "short_card": r"(?i)card|visa|master|amex|tarjeta|karte|carte",
+    "key": r"(?i)key|token|secret|credential",
+    "secret": r"(?i)token|secret|passw|credential|api.?key|auth",
+    "ssn": r"(?i)\bssn\b|social|security|taxpayer",
+    "rut": r"(?i)\brut\b|\brun\b|c[ée]dula|identidad",
+    "routing": r"(?i)routing|\baba\b|bank|transfer",
 }
-#: Score of a valid span by itself, and what context adds; a span counts from THRESHOLD on.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "short_card": 0.3}
-CONTEXT_ADDS, THRESHOLD = 0.2, 0.5
+#: Words near a span that speak against it.
+DOUBTS = {
+    "email": r"(?i)example|sample|placeholder",
+    "ip": r"(?i)version|release|chapter|section",
+    "card": r"(?i)order|serial|isbn|tracking|invoice",
+    "phone": r"(?i)order|serial|isbn|tracking|invoice",
+    "iban": r"(?i)example|sample|specimen",
+    "short_card": r"(?i)order|serial|isbn|tracking|invoice|imei",
+    "key": r"(?i)example|sample|placeholder",
+    "secret": r"(?i)commit|checksum|digest|\bsha|md5|etag|revision",
+    "ssn": r"(?i)order|serial|part|invoice|phone",
+    "rut": r"(?i)example|ejemplo|folio|factura",
+    "routing": r"(?i)order|serial|part|invoice",
+}
+#: Score of a valid span by itself, what context adds and doubt takes; an added span counts from THRESHOLD on.
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7, "short_card": 0.3, "key": 0.7, "secret": 0.3, "ssn": 0.4, "rut": 0.6, "routing": 0.2}
+CONTEXT_ADDS, DOUBT_TAKES, THRESHOLD = 0.3, 0.3, 0.5
 
 
 def digits(x: Column) -> Column:
@@ -89,6 +117,28 @@ def octets(value: Column) -> Column:
     return ~value.rlike(r"(?:^|\.)0*(?:[1-9][0-9]{3,}|[3-9][0-9]{2}|2[6-9][0-9]|25[6-9])(?:\.|$)")
 
 
+def mod11(value: Column) -> Column:
+    """Whether the last character is the check digit of those before it: weights 2 to 7 from
+    the right, K for ten."""
+    plain = F.upper(F.regexp_replace(value, "[.-]", ""))
+    back = F.reverse(F.substring(plain, F.lit(1), F.length(plain) - 1))
+    total = F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), lambda t, i: t + F.substring(back, i, F.lit(1)).cast("int") * (2 + (i - 1) % 6))
+    rest = 11 - total % 11
+    return F.substring(plain, -1, 1) == F.when(rest == 11, "0").when(rest == 10, "K").otherwise(rest.cast("string"))
+
+
+def aba(value: Column) -> Column:
+    """Whether nine digits pass the routing number's checksum (weights 3, 7, 1)."""
+    digit = lambda i: F.substring(value, i, F.lit(1)).cast("int")
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda t, i: t + digit(i) * F.element_at(F.array(F.lit(3), F.lit(7), F.lit(1)), (i - 1) % 3 + 1))
+    return (total % 10 == 0) & (value != "000000000")
+
+
+def mixed_hex(value: Column) -> Column:
+    """Letters and digits, at least eight different ones: not a number or a filler."""
+    return value.rlike("[A-Fa-f]") & value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(F.lower(value), ""))) >= 8)
+
+
 VALID: dict[str, Callable[[Column], Column]] = {
     "email": lambda v: F.lit(True),
     "ip": octets,
@@ -96,6 +146,11 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "phone": lambda v: F.length(digits(v)).between(8, 15),
     "iban": mod97,
     "short_card": luhn,
+    "key": lambda v: F.lit(True),
+    "secret": mixed_hex,
+    "ssn": lambda v: ~v.rlike("^(000|666|9..)|-00-|-0000$"),
+    "rut": mod11,
+    "routing": aba,
 }
 
 
@@ -144,14 +199,15 @@ def _scored(text: Column, candidates: Column, kind: str) -> Column:
     def score(x: Column) -> Column:
         before = F.substring(text, F.greatest(x["start"] - REACH + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(REACH)).cast("int"))
         after = F.substring(text, (x["end"] + 1).cast("int"), F.lit(REACH))
-        near = F.concat(before, F.lit(" "), after).rlike(CONTEXT[kind])
+        around = F.concat(before, F.lit(" "), after)
+        adds = F.when(around.rlike(CONTEXT[kind]), CONTEXT_ADDS).otherwise(0.0) - F.when(around.rlike(DOUBTS[kind]), DOUBT_TAKES).otherwise(0.0)
         return F.struct(
             F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-            (F.lit(SCORES[kind]) + F.when(near, CONTEXT_ADDS).otherwise(0.0)).alias("score"),
+            F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(SCORES[kind]) + adds)), 2).alias("score"),
         )
 
     valid = F.transform(F.filter(candidates, lambda x: VALID[kind](x["value"])), score)
-    return valid if SCORES[kind] >= THRESHOLD else F.filter(valid, lambda x: x["score"] >= THRESHOLD)
+    return valid if kind in KINDS else F.filter(valid, lambda x: x["score"] >= THRESHOLD)
 
 
 def _spanned(docs: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir))
     n = [F.size(pii.of_kinds(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     base = pii.of_kinds(F.col("spans"), *pii.KINDS)
-    return found.select("doc_id", *n, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_string("%.1f", s["score"])), ",")
+    return found.select("doc_id", *n, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), scores.alias("scores"))
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +114,8 @@ features AS (
   SELECT doc_id, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
          len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
          len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*+\\x{{2022}}]'))) AS n_bullet_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|\\x{{2026}})[\\x20\\x09-\\x0D]*$'))) AS n_cut_lines,
          coalesce(covered.n, 0) AS n_repeat_words,
          len(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS n_letters
   FROM w LEFT JOIN covered USING (doc_id)),
@@ -120,7 +123,8 @@ judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM features)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_upper > n_letters
-            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 4 * n_lines) AS kept
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 4 * n_lines
+            OR 10 * n_bullet_lines > 9 * n_lines OR 10 * n_cut_lines > 3 * n_lines) AS kept
 FROM judged"""
 
 QUERIES = {

@@ -62,6 +62,9 @@ def rules(doc_id, text):
     failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
     upper, letters = len(re.findall("[A-Z]", text)), len(re.findall("[A-Za-z]", text))
     bad = 10 * symbols > len(words) or 2 * upper > letters or chars < 2 * len(words) or chars > 15 * len(words) or 10 * dup > 4 * len(lines)
+    bullets = sum(bool(re.match(r"[\x20\x09-\x0D]*[-*+\u2022]", x)) for x in lines)
+    cut = sum(x.rstrip(BLANK).endswith(("...", "\u2026")) for x in lines)
+    bad = bad or 10 * bullets > 9 * len(lines) or 10 * cut > 3 * len(lines)
     return doc_id, len(words), chars, symbols, dup, len(covered), failed, not (failed or bad)
 
 

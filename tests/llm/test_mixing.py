@@ -55,3 +55,9 @@ def test_position_inverts_the_integral(spark):
 def test_no_python_on_the_main_path(awkward):
     plan = M.mix(awkward)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_with_names_of_its_own(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2, 5), (2, "c", "y", 3, 6)], "doc_id long, text string, source string, __id int, __n int")
+    out = M.mix(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()}
