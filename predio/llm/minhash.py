@@ -23,7 +23,8 @@ leads the others again, and only members that are still in different components
 `ROUNDS` such rounds are paired.
 
 Links are joined to components by union-find within tasks and then by star contraction
-over the tasks' results; nothing of it goes through the driver.
+over the tasks' results, until what is left is small enough for one task; nothing of it
+goes through the driver.
 
 Two sets of similarity 0.8 meet in no bucket with probability 3e-6 (252 slots, 42 bands
 of 6), more similar ones less often.
@@ -57,6 +58,8 @@ ROUNDS = 2
 SPREAD = 64
 #: Pairs up to which their members' ids are broadcast, at 32 bytes each.
 FEW = 100_000
+#: Edges up to which one task's union-find ends the joining of components (a few dozen MB).
+LAST_EDGES = 250_000
 #: Bytes of text, and elements with a permutation each, that a task works on at a time.
 PIECE, ELEMENTS = 1 << 21, 60_000
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -381,7 +384,7 @@ def components(edges: DataFrame) -> DataFrame:
     """id, component_id (smallest id reachable) of every node of the edges (a, b)."""
     state, before = checkpointed(_local_unions(edges).distinct()), None
     total = state.count()
-    while True:
+    while total > LAST_EDGES:
         # large star: larger neighbours go to the smallest of the neighbourhood; small star: the rest does
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
@@ -393,6 +396,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             return state.select(F.col("b").alias("id"), F.col("a").alias("component_id"))
         before, total = now, now[0]
+    last = checkpointed(_local_unions(state.coalesce(1)))
+    return last.select(F.col("b").alias("id"), F.col("a").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:

@@ -18,7 +18,8 @@ def test_equals_brute_force(awkward, small, width):
         assert got(df, width) == components([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], width)
 
 
-def test_chains_and_members_far_from_their_leader(spark):
+def test_chains_and_members_far_from_their_leader(spark, monkeypatch):
+    monkeypatch.setattr(N, "LAST_EDGES", 0)
     draw = random.Random(8)
     words = [f"w{i}" for i in range(5000)]
     rows = []
