@@ -54,6 +54,8 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 #: Rounds of new leaders before the members left are paired; they save pairs, the result is the same.
 ROUNDS = 2
+#: Members that meet in one change from which a new leader is worth its comparisons; fewer are paired at once.
+LONG = 32
 #: A key with more than the SPREADth part of a table's rows is dealt over SPREAD tasks; there are fewer than SPREAD such keys.
 SPREAD = 64
 #: Pairs up to which their members' ids are broadcast, at 32 bytes each.
@@ -326,8 +328,9 @@ def _between_members(compared: DataFrame) -> DataFrame:
         open_lists = checkpointed(open_lists)
         if open_lists.isEmpty():
             break
-        if turn < ROUNDS:
-            met = spread_join(named.select("lead", "item", "member", "c"), open_lists, ["lead", "item"], total)
+        long = open_lists.where(F.col("n") > LONG)
+        if turn < ROUNDS and not long.isEmpty():
+            met = spread_join(named.select("lead", "item", "member", "c"), long, ["lead", "item"], total)
             stars = met.where("member <> head.member and c <> head.c").select("lead", F.col("head.member").alias("a"), F.col("member").alias("b"))
             found.append(confirmed(stars))
             continue
@@ -337,6 +340,7 @@ def _between_members(compared: DataFrame) -> DataFrame:
         possible = 9 * F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")) >= F.col("w_a") + F.col("w_b") - F.col("n")
         met = left.join(right, ["lead", "item"]).where(possible & (F.col("c_a") != F.col("c_b")))
         found.append(confirmed(met.select("lead", "a", "b")))
+        break
     return reduce(DataFrame.unionByName, found)
 
 
