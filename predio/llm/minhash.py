@@ -53,7 +53,7 @@ SLOTS, BANDS = 252, 42
 SHINGLE = 5
 THRESHOLD = (4, 5)
 #: Rounds of new leaders before the members left are paired; they save pairs, the result is the same.
-ROUNDS = 2
+ROUNDS = 1
 #: Members that meet in one change from which a new leader is worth its comparisons; fewer are paired at once.
 LONG = 32
 #: A key with more than the SPREADth part of a table's rows is dealt over SPREAD tasks; there are fewer than SPREAD such keys.
@@ -316,10 +316,9 @@ def _between_members(compared: DataFrame) -> DataFrame:
     known = compared.where("linked").select(F.col("lead").alias("a"), F.col("member").alias("b"))
     total = prefixes.count()
     found = [known.where("false")]
+    label = components(known)
     for turn in range(ROUNDS + 1):
-        if turn:
-            known = known.unionByName(found[-1])
-        named = prefixes.join(components(known).withColumnsRenamed({"id": "member", "component_id": "c"}), "member", "left").withColumn("c", F.coalesce("c", "member"))
+        named = prefixes.join(label.withColumnsRenamed({"id": "member", "component_id": "c"}), "member", "left").withColumn("c", F.coalesce("c", "member"))
         open_lists = named.groupBy("lead", "item").agg(
             F.count("*").alias("n"),
             F.min_by(F.struct("member", "c"), F.when(F.col("apart"), F.xxhash64("member", F.lit(turn)))).alias("head"),
@@ -333,7 +332,10 @@ def _between_members(compared: DataFrame) -> DataFrame:
             met = spread_join(named.select("lead", "item", "member", "c"), long, ["lead", "item"], total)
             stars = met.where("member <> head.member and c <> head.c").select("lead", F.col("head.member").alias("a"), F.col("member").alias("b"))
             found.append(confirmed(stars))
-            continue
+            if not found[-1].isEmpty():
+                known = known.unionByName(found[-1])
+                label = components(known)
+                continue
         left = named.join(open_lists.drop("n", "head"), ["lead", "item"], "left_semi").where("apart")
         left = left.select("lead", "item", F.col("member").alias("a"), F.col("c").alias("c_a"), F.col("at").alias("at_a"), F.col("d").alias("d_a"), F.col("w").alias("w_a"), "n")
         right = named.select("lead", "item", F.col("member").alias("b"), F.col("c").alias("c_b"), F.col("at").alias("at_b"), F.col("d").alias("d_b"), F.col("w").alias("w_b"))
