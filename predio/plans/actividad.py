@@ -19,7 +19,7 @@ TOPE_HORA = 5
 
 def estadisticas_por_dia(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits per project and day, days without any included."""
-    v = eventos_validos(table(spark, sf_dir, "events")).where("tipo = 'visita'")
+    v = eventos_validos(spark, sf_dir).where("tipo = 'visita'")
     dias = v.agg(F.explode(F.sequence(F.min("dia"), F.max("dia"))).alias("dia"))
     todos = v.select("proyecto_id").distinct().crossJoin(F.broadcast(dias))  # 25 projects by the days of the window
     return todos.join(v.groupBy("proyecto_id", "dia").agg(F.count("*").alias("n")), ["proyecto_id", "dia"], "left").select("proyecto_id", "dia", F.coalesce("n", F.lit(0)).alias("visitas"))
@@ -34,27 +34,33 @@ def estadisticas_por_semana(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estadisticas_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty lots of most interest, over three metrics."""
-    v = eventos_validos(table(spark, sf_dir, "events")).where("parcela <> ''")
-    cuenta = [F.count_if(F.col("tipo") == t).alias(t) for t in ("ficha", "whatsapp", "reservar")]
-    return v.groupBy("parcela").agg(*cuenta).orderBy(F.desc("ficha"), F.desc("reservar"), F.desc("whatsapp"), "parcela").limit(50)
+    """The fifty lots of most interest: events, leads and holds of a lot, and its state now (null if it is gone)."""
+    v = eventos_validos(spark, sf_dir).where("parcela <> ''").select("parcela", "tipo")
+    leads = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select((F.col("l_partkey") % 120).cast("string").alias("parcela"), F.lit("interesa").alias("tipo"))
+    holds = reservas(spark, sf_dir).where("estado = 'pendiente'").select((F.col("comprador") % 120).cast("string").alias("parcela"), F.lit("reservas").alias("tipo"))
+    cuenta = [F.count_if(F.col("tipo") == t).alias(t) for t in ("ficha", "whatsapp", "reservar", "interesa", "reservas")]
+    t = v.unionByName(leads).unionByName(holds).groupBy("parcela").agg(*cuenta)
+    lotes = parcelas(spark, sf_dir).where("id % 7 <> 0").select(F.col("id").cast("string").alias("parcela"), "estado")
+    primeros = t.orderBy(F.desc("ficha"), F.desc("interesa"), F.desc("whatsapp"), "parcela").limit(50)
+    return primeros.join(lotes, "parcela", "left").select("parcela", "estado", "ficha", "whatsapp", "reservar", "interesa", "reservas")
 
 
 def upsert_contadores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters after a second batch is merged into those of the first."""
-    v = eventos_validos(table(spark, sf_dir, "events"))
+    v = eventos_validos(spark, sf_dir)
     clave = ["proyecto_id", "dia", "parcela", "tipo"]
     lote = lambda cond: v.where(cond).groupBy(*clave).agg(F.count("*").alias("cantidad"))
     return lote("event_id % 2 = 0").unionByName(lote("event_id % 2 <> 0")).groupBy(*clave).agg(F.sum("cantidad").alias("cantidad"))
 
 
 def islas_eventos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive log lines of a user that are equal on the same day, as one with its count."""
-    w = Window.partitionBy("usuario").orderBy("cuando", "id")
-    dia = F.to_date("cuando")
-    igual = F.col("que").eqNullSafe(F.lag("que").over(w)) & dia.eqNullSafe(F.lag(dia).over(w))
-    b = bitacora(spark, sf_dir).withColumn("isla", F.sum(F.when(igual, 0).otherwise(1)).over(w))
-    return b.groupBy("usuario", "isla").agg(F.min("id").alias("id"), F.first("que").alias("que"), F.min("cuando").alias("desde"), F.max("cuando").alias("hasta"), F.count("*").alias("veces")).drop("isla")
+    """Lines that follow each other in a tenant's log and are equal in user, action and detail on
+    the same day, as one with its count. Islands don't cross days, so a window is one day's log."""
+    b = bitacora(spark, sf_dir).select("id", F.pmod("usuario", F.lit(25)).alias("cliente"), F.to_date("cuando").alias("dia"), F.pmod("usuario", F.lit(2)).alias("actor"), "que", F.floor(F.col("lote") / 50).alias("detalle"), "cuando")
+    w = Window.partitionBy("cliente", "dia").orderBy("cuando", "id")
+    linea = F.struct("actor", "que", "detalle")
+    b = b.withColumn("isla", F.sum(F.when(linea.eqNullSafe(F.lag(linea).over(w)), 0).otherwise(1)).over(w))
+    return b.groupBy("cliente", "dia", "isla").agg(F.min("id").alias("id"), F.first("que").alias("que"), F.min("cuando").alias("desde"), F.max("cuando").alias("hasta"), F.count("*").alias("veces")).drop("isla", "dia")
 
 
 def estado_reserva(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +89,12 @@ def historial_pagina(spark: SparkSession, sf_dir: str, antes: int = 5000, n: int
 
 
 def cola_trabajos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place in the queue of its buyer's open holds, first in first out."""
-    w = Window.partitionBy("comprador").orderBy("creada_en", "id")
-    return reservas(spark, sf_dir).where("estado = 'confirmada'").select("id", "comprador", F.row_number().over(w).alias("lugar"))
+    """Place of the open holds in the one queue, first in first out: the days before, then the place within the day."""
+    q = reservas(spark, sf_dir).where("estado = 'confirmada'").select("id", "comprador", "creada_en", F.to_date("creada_en").alias("dia"))
+    dias = q.groupBy("dia").agg(F.count("*").alias("n"))
+    antes = F.coalesce(F.sum("n").over(Window.orderBy("dia").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each day
+    dentro = F.row_number().over(Window.partitionBy("dia").orderBy("creada_en", "id"))
+    return q.withColumn("dentro", dentro).join(dias.select("dia", antes.alias("antes")), "dia").select("id", "comprador", (F.col("antes") + F.col("dentro")).alias("lugar"))
 
 
 def inbox_interesados(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,14 +169,20 @@ ORACLES = {
   SELECT CAST((dia - (SELECT min(dia) FROM v)) // 7 AS INTEGER) AS barra, min(dia) AS desde, count(*) AS dias, CAST(sum(visitas) AS BIGINT) AS visitas
   FROM (SELECT dia, sum(visitas) AS visitas FROM {_DIAS} GROUP BY dia) GROUP BY 1""",
     "estadisticas_top": f"""
-  SELECT parcela, count(*) FILTER (tipo = 'ficha') AS ficha, count(*) FILTER (tipo = 'whatsapp') AS whatsapp, count(*) FILTER (tipo = 'reservar') AS reservar
-  FROM ({VALIDOS_SQL}) WHERE parcela <> '' GROUP BY parcela ORDER BY ficha DESC, reservar DESC, whatsapp DESC, parcela LIMIT 50""",
+  SELECT t.*, l.estado FROM (
+    SELECT parcela, count(*) FILTER (tipo = 'ficha') AS ficha, count(*) FILTER (tipo = 'whatsapp') AS whatsapp, count(*) FILTER (tipo = 'reservar') AS reservar,
+           count(*) FILTER (tipo = 'interesa') AS interesa, count(*) FILTER (tipo = 'reservas') AS reservas
+    FROM (SELECT parcela, tipo FROM ({VALIDOS_SQL}) WHERE parcela <> ''
+          UNION ALL SELECT CAST(l_partkey % 120 AS VARCHAR), 'interesa' FROM lineitem WHERE l_returnflag = 'R'
+          UNION ALL SELECT CAST(comprador % 120 AS VARCHAR), 'reservas' FROM {RESERVAS_SQL} WHERE estado = 'pendiente')
+    GROUP BY parcela ORDER BY ficha DESC, interesa DESC, whatsapp DESC, parcela LIMIT 50) t
+  LEFT JOIN (SELECT CAST(id AS VARCHAR) AS parcela, estado FROM {PARCELAS_SQL} WHERE id % 7 <> 0) l USING (parcela)""",
     "upsert_contadores": f"SELECT proyecto_id, dia, parcela, tipo, count(*) AS cantidad FROM ({VALIDOS_SQL}) GROUP BY ALL",
     "islas_eventos": f"""
-  SELECT usuario, min(id) AS id, any_value(que) AS que, min(cuando) AS desde, max(cuando) AS hasta, count(*) AS veces FROM (
-    SELECT *, row_number() OVER (PARTITION BY usuario ORDER BY cuando, id)
-              - row_number() OVER (PARTITION BY usuario, que, CAST(cuando AS DATE) ORDER BY cuando, id) AS isla FROM {BITACORA_SQL})
-  GROUP BY usuario, que, CAST(cuando AS DATE), isla""",
+  WITH b AS (SELECT id, usuario % 25 AS cliente, CAST(cuando AS DATE) AS dia, usuario % 2 AS actor, que, lote // 50 AS detalle, cuando FROM {BITACORA_SQL}),
+  n AS (SELECT *, row_number() OVER (PARTITION BY cliente ORDER BY cuando, id)
+              - row_number() OVER (PARTITION BY cliente, dia, actor, que, detalle ORDER BY cuando, id) AS isla FROM b)
+  SELECT cliente, min(id) AS id, que, min(cuando) AS desde, max(cuando) AS hasta, count(*) AS veces FROM n GROUP BY cliente, dia, actor, que, detalle, isla""",
     "estado_reserva": f"""
   SELECT CASE WHEN estado = 'pendiente' AND vence_en <= TIMESTAMP '{AHORA}' THEN 'vencida' ELSE estado END AS a_las, count(*) AS n, max(vence_en) AS ultima
   FROM {RESERVAS_SQL} GROUP BY 1""",
@@ -177,7 +192,7 @@ ORACLES = {
     "ultimo_por_clave": f"""
   SELECT comprador, id, estado FROM (SELECT *, row_number() OVER (PARTITION BY comprador ORDER BY creada_en DESC, id DESC) AS n FROM {RESERVAS_SQL}) WHERE n = 1""",
     "historial_pagina": f"SELECT id, usuario, que, cuando FROM {BITACORA_SQL} WHERE id < 5000 ORDER BY id DESC LIMIT 50",
-    "cola_trabajos": f"SELECT id, comprador, CAST(row_number() OVER (PARTITION BY comprador ORDER BY creada_en, id) AS INTEGER) AS lugar FROM {RESERVAS_SQL} WHERE estado = 'confirmada'",
+    "cola_trabajos": f"SELECT id, comprador, row_number() OVER (ORDER BY creada_en, id) AS lugar FROM {RESERVAS_SQL} WHERE estado = 'confirmada'",
     "inbox_interesados": f"""
   SELECT i.id, i.creado_en, i.proyecto, i.lote, p.estado FROM (
     SELECT event_id AS id, ts AS creado_en, n_name AS proyecto, CAST(json_extract_string(props, '$.k') AS BIGINT) AS lote

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from predio.plans import actividad, consola, estadisticas, inventario, medidas
+from predio.plans import actividad, consola, escalares, estadisticas, inventario, medidas
 from predio.streaming import continuas
 
-MODULES = (estadisticas, inventario, actividad, medidas, consola, continuas)
+MODULES = (estadisticas, inventario, actividad, medidas, consola, escalares, continuas)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -73,7 +73,7 @@ def grupos_reservas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tarjetas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Funnel of each project: opened lots per visit, and one in how many visits asks."""
-    v = eventos_validos(table(spark, sf_dir, "events")).groupBy("proyecto_id").agg(*[F.count_if(F.col("tipo") == t).alias(t) for t in ("visita", "ficha", "whatsapp")])
+    v = eventos_validos(spark, sf_dir).groupBy("proyecto_id").agg(*[F.count_if(F.col("tipo") == t).alias(t) for t in ("visita", "ficha", "whatsapp")])
     una = F.greatest(F.lit(1.0), F.round(F.try_divide("visita", "whatsapp")))
     return v.select("*", F.round(F.try_divide("ficha", "visita"), 1).alias("por_visita"), F.when((F.col("visita") > 0) & (F.col("whatsapp") > 0), una).alias("una_de_cada"))
 
@@ -179,7 +179,7 @@ ORACLES = {
     WHEN 5 THEN 'vendido' ELSE 'no_disponible' END AS estado FROM part""",
     "etapas": "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN CAST(p_partkey % 9 + 1 AS INTEGER) END AS etapa FROM part",
     "contactos_limpios": """
-  SELECT c_custkey, rtrim(substr('Hola ' || c_name || ' fin', 1, 20)) AS nota, c_custkey % 2 = 0 AS correo_ok, c_custkey % 5 < 2 AS oculto FROM customer""",
+  SELECT c_custkey, substr('Hola ' || c_name || ' fin', 1, 20) AS nota, c_custkey % 2 = 0 AS correo_ok, c_custkey % 5 < 2 AS oculto FROM customer""",
     "interesados_por_parcela": f"SELECT lote, count(*) AS n FROM {BITACORA_SQL} WHERE que = 'signup' AND cuando >= TIMESTAMP '2024-01-10' GROUP BY lote",
     "loteos_de": f"SELECT comprador % 25 AS proyecto_id, count(*) AS n, count(*) FILTER (estado = 'pendiente') AS pendientes, min(id) AS primera FROM {RESERVAS_SQL} GROUP BY 1",
     "grupos_reservas": f"""

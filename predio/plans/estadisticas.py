@@ -2,50 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from predio.plans.vistas import PARCELAS_SQL, parcelas
 from predio.session import table
 
 #: The visitor events that are known, and the test table's names for them.
 EVENTOS = {"view": "visita", "click": "ficha", "signup": "whatsapp", "purchase": "reservar"}
 
 
-def eventos_validos(events: DataFrame) -> DataFrame:
-    """Known event types only; a visit belongs to the whole project, so its lot is ''."""
+#: Days are those of this zone (fixed value), and a batch of more events is refused whole.
+ZONA, LOTE_MAX = "America/Santiago", 30
+
+
+def dia_local(ts: Column) -> Column:
+    """Day in ZONA of a time without zone, which is in UTC."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(ZONA), ts))
+
+
+def validos(events: DataFrame, lotes: DataFrame) -> DataFrame:
+    """Known event types of known lots (id) only; a visit belongs to the whole project, so its lot is ''."""
     tipo = F.create_map(*[F.lit(x) for kv in EVENTOS.items() for x in kv])
     lote = F.get_json_object("props", "$.k")
-    return (
+    v = (
         events.withColumn("tipo", F.try_element_at(tipo, F.col("event_type")))
         .where(F.col("tipo").isNotNull())
         .select(
             "event_id",
             F.pmod("user_id", F.lit(25)).cast("int").alias("proyecto_id"),
-            F.to_date("ts").alias("dia"),
+            dia_local(F.col("ts")).alias("dia"),
             F.when(F.col("tipo") == "visita", "").otherwise(F.coalesce(F.substring(lote, 1, 40), F.lit(""))).alias("parcela"),
             "tipo",
         )
     )
+    conocidos = lotes.select(F.col("id").cast("string").alias("parcela"), F.lit(True).alias("conocida"))
+    return v.join(conocidos, "parcela", "left").where("tipo = 'visita' or conocida").drop("conocida")
+
+
+def eventos_validos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validos(table(spark, sf_dir, "events"), parcelas(spark, sf_dir))
+
+
+def lotes_de_eventos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of events (here one user's of a month) as they come in: accepted, or refused whole if too long."""
+    b = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("month", "ts").alias("envio")).agg(F.count("*").alias("n"))
+    return b.select("user_id", "envio", F.when(F.col("n") <= LOTE_MAX, F.col("n")).otherwise(0).alias("aceptados"), (F.col("n") > LOTE_MAX).alias("rechazado"))
 
 
 def estadisticas_resumen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per project and event type, with the number of days that have any."""
     return (
-        eventos_validos(table(spark, sf_dir, "events"))
+        eventos_validos(spark, sf_dir)
         .groupBy("proyecto_id", "tipo")
         .agg(F.count("*").alias("cantidad"), F.countDistinct("dia").alias("dias"))
     )
 
 
-VALIDOS_SQL = """
-  SELECT event_id, CAST(((user_id % 25) + 25) % 25 AS INTEGER) AS proyecto_id, CAST(ts AS DATE) AS dia, tipo,
-         CASE WHEN tipo = 'visita' THEN '' ELSE coalesce(substr(json_extract_string(props, '$.k'), 1, 40), '') END AS parcela
-  FROM (SELECT *, CASE event_type WHEN 'view' THEN 'visita' WHEN 'click' THEN 'ficha'
-                                  WHEN 'signup' THEN 'whatsapp' WHEN 'purchase' THEN 'reservar' END AS tipo FROM events)
-  WHERE tipo IS NOT NULL"""
+VALIDOS_SQL = f"""
+  SELECT * FROM (
+    SELECT event_id, CAST(((user_id % 25) + 25) % 25 AS INTEGER) AS proyecto_id, CAST(timezone('{ZONA}', timezone('UTC', ts)) AS DATE) AS dia, tipo,
+           CASE WHEN tipo = 'visita' THEN '' ELSE coalesce(substr(json_extract_string(props, '$.k'), 1, 40), '') END AS parcela
+    FROM (SELECT *, CASE event_type WHEN 'view' THEN 'visita' WHEN 'click' THEN 'ficha'
+                                    WHEN 'signup' THEN 'whatsapp' WHEN 'purchase' THEN 'reservar' END AS tipo FROM events)
+    WHERE tipo IS NOT NULL)
+  WHERE tipo = 'visita' OR parcela IN (SELECT CAST(id AS VARCHAR) FROM {PARCELAS_SQL})"""
 
-QUERIES = {"estadisticas_resumen": estadisticas_resumen}
+QUERIES = {"estadisticas_resumen": estadisticas_resumen, "lotes_de_eventos": lotes_de_eventos}
 ORACLES = {
+    "lotes_de_eventos": """
+  SELECT user_id, envio, CASE WHEN n <= 30 THEN n ELSE 0 END AS aceptados, n > 30 AS rechazado
+  FROM (SELECT user_id, date_trunc('month', ts) AS envio, count(*) AS n FROM events GROUP BY ALL)""",
     "estadisticas_resumen": f"""
   SELECT proyecto_id, tipo, count(*) AS cantidad, count(DISTINCT dia) AS dias
   FROM ({VALIDOS_SQL}) GROUP BY proyecto_id, tipo""",

@@ -89,12 +89,21 @@ def grupos_numeracion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("sector", "tramo", "parte").agg(F.min("numero").alias("desde"), F.max("numero").alias("hasta"), F.count("*").alias("n")).drop("tramo", "parte")
 
 
-def buscar_lotes(spark: SparkSession, sf_dir: str, texto: str = "12") -> DataFrame:
-    """The viewer's search: 3 id equal, 2 id contains, 1 name starts with it; best eight of each project."""
-    i = F.col("id").cast("string")
-    puntos = F.when(i == texto, 3).when(i.contains(texto), 2).when(F.col("nombre").startswith(texto), 1).otherwise(0)
-    orden = Window.partitionBy("proyecto_id").orderBy(F.desc("puntos"), "id")
-    return parcelas(spark, sf_dir).withColumn("puntos", puntos).where("puntos > 0").withColumn("lugar", F.row_number().over(orden)).where("lugar <= 8").select("proyecto_id", "id", "puntos", "lugar")
+def buscar_lotes(spark: SparkSession, sf_dir: str, consulta: str = "Lote a12") -> DataFrame:
+    """The viewer's search: 3 name or number equal, 2 name contains it, 1 number starts with it; ties by number, the best eight."""
+    limpia = consulta.strip().upper()
+    for palabra in ("LOTES", "LOTE"):
+        if limpia.startswith(palabra):
+            limpia = limpia.removeprefix(palabra)
+            break
+    limpia = "".join(limpia.split())
+    digitos = "".join(c for c in limpia if c.isdigit())
+    nombre = F.concat(F.element_at(F.array(F.lit("A"), F.lit("B")), (F.col("id") % 2 + 1).cast("int")), F.col("id").cast("string"))
+    numero = F.col("id").cast("string")
+    por_numero = F.when((nombre == limpia) | ((numero == digitos) & F.lit(digitos != "")), 3)
+    puntos = por_numero.when(F.contains(nombre, F.lit(limpia)), 2).when(numero.startswith(digitos) & F.lit(digitos != ""), 1).otherwise(0)
+    p = parcelas(spark, sf_dir).select("id", nombre.alias("lote"), puntos.alias("puntos"))
+    return p.where("puntos > 0").orderBy(F.desc("puntos"), "id").limit(8)
 
 
 def filtrar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +151,9 @@ ORACLES = {
     SELECT *, (row_number() OVER (PARTITION BY sector, isla ORDER BY numero) - 1) // 12 AS parte FROM (
       SELECT *, numero - row_number() OVER (PARTITION BY sector ORDER BY numero) AS isla FROM {_NUMEROS})) GROUP BY sector, isla, parte""",
     "buscar_lotes": f"""
-  SELECT proyecto_id, id, puntos, CAST(lugar AS INTEGER) AS lugar FROM (
-    SELECT *, row_number() OVER (PARTITION BY proyecto_id ORDER BY puntos DESC, id) AS lugar FROM (
-      SELECT *, CASE WHEN id = 12 THEN 3 WHEN CAST(id AS VARCHAR) LIKE '%12%' THEN 2 WHEN nombre LIKE '12%' THEN 1 ELSE 0 END AS puntos FROM {PARCELAS_SQL}) WHERE puntos > 0) WHERE lugar <= 8""",
+  SELECT id, lote, CAST(CASE WHEN lote = 'A12' OR CAST(id AS VARCHAR) = '12' THEN 3 WHEN lote LIKE '%A12%' THEN 2 ELSE 1 END AS INTEGER) AS puntos
+  FROM (SELECT id, CASE id % 2 WHEN 0 THEN 'A' ELSE 'B' END || id AS lote FROM {PARCELAS_SQL})
+  WHERE lote LIKE '%A12%' OR CAST(id AS VARCHAR) LIKE '12%' ORDER BY puntos DESC, id LIMIT 8""",
     "filtrar": f"SELECT id, estado, superficie FROM {PARCELAS_SQL} WHERE estado <> 'vendido' AND superficie BETWEEN 10 AND 40 AND etapa = 1",
     "duplicados": f"""
   SELECT id, proyecto_id, clave, veces FROM (SELECT *, count(*) OVER (PARTITION BY proyecto_id, clave) AS veces FROM (

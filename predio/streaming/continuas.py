@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from predio.plans import actividad
-from predio.plans.estadisticas import eventos_validos
+from predio.plans.estadisticas import validos
+from predio.plans.vistas import parcelas
 from predio.session import shared_folder, table
 
 CLAVE = ["proyecto_id", "dia", "parcela", "tipo"]
@@ -30,19 +31,19 @@ def eventos(spark: SparkSession, sf_dir: str, por_lote: int = POR_LOTE) -> DataF
     return spark.readStream.schema(esquema).option("maxBytesPerTrigger", por_lote).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def sumar_contadores(llegan: DataFrame, destino: str, control: str):
+def sumar_contadores(llegan: DataFrame, lotes: DataFrame, destino: str, control: str):
     """Counters of each micro-batch under its number; a batch that is run again replaces its own."""
 
     def anotar(lote: DataFrame, numero: int) -> None:
         lote.groupBy(*CLAVE).agg(F.count("*").alias("cantidad")).write.mode("overwrite").parquet(f"{destino}/lote={numero}")
 
-    return eventos_validos(llegan).writeStream.foreachBatch(anotar).option("checkpointLocation", control).trigger(availableNow=True).start()
+    return validos(llegan, lotes).writeStream.foreachBatch(anotar).option("checkpointLocation", control).trigger(availableNow=True).start()
 
 
 def contadores_continuos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters per project, day, lot and type, summed over the micro-batches."""
     base = shared_folder(spark)
-    sumar_contadores(eventos(spark, sf_dir), f"{base}/contadores", f"{base}/control").awaitTermination()
+    sumar_contadores(eventos(spark, sf_dir), parcelas(spark, sf_dir), f"{base}/contadores", f"{base}/control").awaitTermination()
     return spark.read.parquet(f"{base}/contadores").groupBy(*CLAVE).agg(F.sum("cantidad").alias("cantidad"))
 
 

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from predio.plans import catalog
@@ -68,3 +69,16 @@ def test_labels_of_numbers_from_100_on(spark):
     rows = catalog.QUERIES["huecos_numeracion"](spark, "/root/testdata/sf0.1").collect()
     assert max(r.numero for r in rows) >= 100
     assert all(r.rotulo == f"{r.sector}-{str(r.numero).zfill(2)}" for r in rows)
+
+
+def test_names_and_amounts_as_written(spark):
+    from predio.functions import texto
+
+    lotes = {"LOTE 12": "12", "12.0": "12", "A-0420": "A420", "lote b 07": "B7", "N° 7-01": "7-1", "#15": "15", "PARCELA 3": "3", "sin número": None, "": None, None: None}
+    montos = {"$ 13.124": 13124.0, "13.12": 13.12, "1.234.567,5": 1234567.5, "-5": -5.0, "1,2,3": None, "UF 1.500": 1500.0, "consultar": None, None: None}
+    normales = {"João": "joao", "Ýngrid Škoda": "yngrid skoda", "Ångström": "angstrom", "Ñuñoa  Ltda..": "nunoa ltda", "ﬁn": "fin"}
+    for casos, f in ((lotes, texto.lote_id), (montos, texto.monto), (normales, texto.normal)):
+        df = spark.createDataFrame([(k,) for k in casos], "x string")
+        assert {r.x: r.y for r in df.select("x", f(F.col("x")).alias("y")).collect()} == casos
+    df = spark.createDataFrame([("a\u00a0\u3000b\tc  ",), ("abcd ef",)], "x string")
+    assert [r.y for r in df.select(texto.limpio(F.col("x"), 5).alias("y")).collect()] == ["a b c", "abcd "]
