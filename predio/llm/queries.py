@@ -127,6 +127,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * n_bullet_lines > 9 * n_lines OR 10 * n_cut_lines > 3 * n_lines) AS kept
 FROM judged"""
 
+OP7_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) c ON c.id = d.doc_id"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -139,4 +153,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "op7_minhash": OP7_SQL}
