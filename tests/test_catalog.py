@@ -82,3 +82,21 @@ def test_names_and_amounts_as_written(spark):
         assert {r.x: r.y for r in df.select("x", f(F.col("x")).alias("y")).collect()} == casos
     df = spark.createDataFrame([("a\u00a0\u3000b\tc  ",), ("abcd ef",)], "x string")
     assert [r.y for r in df.select(texto.limpio(F.col("x"), 5).alias("y")).collect()] == ["a b c", "abcd "]
+
+
+def test_sheet_headers_repeats_and_stages(spark, tmp_path):
+    from predio.plans import planillas
+
+    hoja = tmp_path / "hoja.csv"
+    hoja.write_text('﻿LOTE,Situación,Valor,Superficie  M2\n"Lote 7",Vendido,"$ 1.500",50\nsin,,,\n8,,0,\n', encoding="utf-8")
+    got = {r.id: r for r in planillas.fichas(planillas.leer_csv(spark, str(hoja))).collect()}
+    assert set(got) == {"7", "8"} and got["7"].etapa is None
+    assert (got["7"].estado, got["7"].precio, got["7"].superficie) == ("vendido", 1500.0, 50)
+    assert (got["8"].estado, got["8"].precio, got["8"].superficie) == ("no_disponible", None, None)
+    filas = spark.createDataFrame([("7", "1", 0), ("7", "2", 1)], "lote string, precio string, fila long")
+    with pytest.raises(ValueError, match="repeated lots: 7"):
+        planillas.fichas(filas)
+    assert [r.precio for r in planillas.fichas(filas, repetidas=True).collect()] == [2.0]
+    assert planillas.fichas(filas.limit(0), repetidas=True).count() == 0
+    with pytest.raises(ValueError, match="no column"):
+        planillas.fichas(filas.drop("lote"))
