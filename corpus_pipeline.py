@@ -2,6 +2,12 @@
 
 Each stage takes and returns a DataFrame with the columns of `documents`; the last one
 returns the encoded documents. A stage works on all that the one before it kept.
+
+Defined results: null and empty texts have too few words for the rules and go in the first
+stage; rows with one doc_id are judged each by its own text, but stay or go together in near-dedup;
+rows without doc_id stay in near-dedup; a null source is a source of its own; nulls in the other columns pass through;
+further columns of the input stay up to the encoding; an empty table gives an empty one at
+each stage.
 """
 
 from __future__ import annotations

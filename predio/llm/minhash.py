@@ -422,6 +422,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The documents that are the smallest of their component, in the columns of docs."""
+    """The documents that are the smallest of their component, in the columns of docs. Rows
+    with equal doc_id are one document: they stay or go together."""
     kept = near_duplicates(docs, width).where("kept").select(F.col("doc_id").alias("__kept_id"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")

@@ -45,3 +45,23 @@ def test_stages_against_brute_force(spark, awkward, small):
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_empty_and_awkward_tables(spark, nothing, odd):
+    docs = nothing
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.dtypes == nothing.dtypes and docs.count() == 0
+    assert corpus_pipeline.encoded(spark, docs, "").count() == 0
+
+    a = corpus_pipeline.rules(spark, odd, "").cache()
+    assert a.dtypes == odd.dtypes and sorted((str(r.doc_id), r.text) for r in a.collect()) == sorted((str(r.doc_id), r.text) for r in odd.collect() if rules(r.doc_id, r.text)[-1])
+    b = corpus_pipeline.lines(spark, a, "").cache()
+    assert b.dtypes == odd.dtypes and b.count() == a.count()
+    c = corpus_pipeline.near(spark, b, "").cache()
+    ids = {r.doc_id for r in c.collect()}
+    assert c.dtypes == odd.dtypes and 0 < len(ids) < len({r.doc_id for r in b.collect()})
+    assert c.count() == sum(r.doc_id in ids for r in b.collect())
+    d = corpus_pipeline.mixture(spark, c, "")
+    assert d.dtypes == odd.dtypes and {r.doc_id for r in d.collect()} <= ids
+    assert corpus_pipeline.encoded(spark, d, "").count() == d.count()
