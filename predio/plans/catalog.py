@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from predio.plans import actividad, consola, escalares, estadisticas, inventario, medidas, planillas, visor
+from predio.plans import actividad, consola, escalares, estadisticas, inventario, medidas, planillas, planos, visor
 from predio.streaming import continuas
 
-MODULES = (estadisticas, inventario, actividad, medidas, consola, escalares, planillas, visor, continuas)
+MODULES = (estadisticas, inventario, actividad, medidas, consola, escalares, planillas, visor, planos, continuas)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
