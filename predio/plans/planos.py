@@ -182,7 +182,7 @@ def grupos_por_choque(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lote_buscado(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline of each written number: the first with the same sector and number, else the only form with the same number
     where just one of the two names a sector; none if several do."""
-    numero = lambda k, sin: (F.floor(k / 400).alias("plano"), F.when(k % sin != 0, k % 5).alias("sector"), (k % 97).alias("numero"))
+    numero = lambda k, sin: (F.floor(k / 400).alias("plano"), F.when(k % sin != 0, k % 5).alias("sector"), (k % 151).alias("numero"))
     lotes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("lote"), *numero(F.col("p_partkey"), 3)).groupBy("plano", "sector", "numero").agg(F.min("lote").alias("lote"))
     lotes = lotes.select("plano", "numero", F.col("sector").alias("del_lote"), "lote")
     buscados = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("buscado"), *numero(F.col("c_custkey"), 2))
@@ -224,8 +224,8 @@ ORACLES = {
   r(id, llega) AS (SELECT id, id FROM p UNION SELECT r.id, e.b FROM r JOIN e ON r.llega = e.a)
   SELECT id, min(llega) AS grupo FROM r GROUP BY id""",
     "lote_buscado": """
-  WITH l AS (SELECT p_partkey // 400 AS plano, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 5 END AS sector, p_partkey % 97 AS numero, min(p_partkey) AS lote FROM part GROUP BY ALL),
-  b AS (SELECT c_custkey AS buscado, c_custkey // 400 AS plano, CASE WHEN c_custkey % 2 <> 0 THEN c_custkey % 5 END AS sector, c_custkey % 97 AS numero FROM customer)
+  WITH l AS (SELECT p_partkey // 400 AS plano, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 5 END AS sector, p_partkey % 151 AS numero, min(p_partkey) AS lote FROM part GROUP BY ALL),
+  b AS (SELECT c_custkey AS buscado, c_custkey // 400 AS plano, CASE WHEN c_custkey % 2 <> 0 THEN c_custkey % 5 END AS sector, c_custkey % 151 AS numero FROM customer)
   SELECT buscado, coalesce((SELECT min(lote) FROM l WHERE l.plano = b.plano AND l.numero = b.numero AND l.sector IS NOT DISTINCT FROM b.sector),
     (SELECT CASE WHEN count(*) = 1 THEN min(lote) END FROM l WHERE l.plano = b.plano AND l.numero = b.numero AND (l.sector IS NULL) <> (b.sector IS NULL))) AS lote FROM b""",
     "otros_puntos": """

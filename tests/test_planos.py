@@ -82,3 +82,22 @@ def test_rounds_on_small_and_empty_tables(spark):
     pares = spark.createDataFrame([(1, 7, 2.0), (1, 7, 2.0), (2, 7, 2.0), (2, 8, 3.0), (None, 9, 1.0)], "r long, l long, d double")
     assert sorted((x.r, x.l) for x in planos.emparejar(pares, "r", "l", "d").collect()) == [(1, 7), (2, 8)]
     assert planos.emparejar(pares.where("false"), "r", "l", "d").isEmpty()
+
+
+def test_flights_by_height(spark):
+    from predio.plans import miradas
+
+    alturas: dict = {}
+    for k in (r.p_partkey for r in spark.read.parquet(f"{SF01}/part.parquet").collect()):
+        alturas.setdefault(k // 400, []).append(k * k % 1009)
+    want = []
+    for plano, todas in alturas.items():
+        grupos: list = []
+        for a in sorted(set(todas)):
+            if not grupos or a * len(grupos[-1]) - sum(grupos[-1]) > 30 * len(grupos[-1]):
+                grupos.append([])
+            grupos[-1] += [a] * todas.count(a)
+        want += [(plano, g[0] / 10, g[-1] / 10, len(g), sum(g) / len(g) / 10) for g in grupos]
+    got = [(r.plano, r.desde, r.hasta, r.n, r.media) for r in miradas.vuelos(spark, SF01).collect()]
+    assert [g[:4] for g in sorted(got)] == [w[:4] for w in sorted(want)] and all(abs(g[4] - w[4]) < 1e-3 for g, w in zip(sorted(got), sorted(want)))
+    assert len(want) > 2 * len(alturas)
