@@ -30,11 +30,12 @@ def lotes_visibles(spark: SparkSession, sf_dir: str) -> DataFrame:
     alto, cx, cy = F.col("alto"), F.col("cx"), F.col("cy")
     esquinas = [(F.col("x") + i * F.col("w") - F.col("px"), F.col("y") + j * F.col("h") - F.col("py")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
     norma = lambda x, y: F.sqrt(x * x + y * y + alto * alto)
-    par = cercanos(_lotes(spark, sf_dir), _vistas(spark, sf_dir), LEJOS_M).withColumns({"cx": F.col("x") - F.col("px"), "cy": F.col("y") - F.col("py")})
+    par = cercanos(_lotes(spark, sf_dir), _vistas(spark, sf_dir), LEJOS_M).select("vista", "lote", "x", "y", "w", "h", "px", "py", "alto").withColumns({"cx": F.col("x") - F.col("px"), "cy": F.col("y") - F.col("py")})
     par = par.withColumn("lejos", norma(cx, cy)).withColumns({"metros": F.round("lejos", 1), "elevacion": F.round(F.degrees(F.asin(-alto / F.col("lejos"))), 3)})
     par = par.where((F.col("metros") <= LEJOS_M) & (F.col("elevacion") <= -BAJO_MIN))
     for n, (x, y) in enumerate(esquinas):
         par = par.withColumns({f"x{n}": x, f"y{n}": y}).withColumns({f"n{n}": norma(F.col(f"x{n}"), F.col(f"y{n}")), f"p{n}": F.col(f"x{n}") * cx + F.col(f"y{n}") * cy + alto * alto})
+    par = par.select("vista", "lote", F.inline(F.array(F.struct(*par.columns[par.columns.index("alto") :]))))  # computed once: no plan inlines through it
     v = lambda c, n: F.col(f"{c}{n % 4}")
     coseno = F.least(F.lit(1.0), *[v("p", n) / (v("n", n) * F.col("lejos")) for n in range(4)])
     cruz = [alto * (v("y", n + 1) - v("y", n)) * cx + alto * (v("x", n) - v("x", n + 1)) * cy - alto * (v("x", n) * v("y", n + 1) - v("x", n + 1) * v("y", n)) for n in range(4)]
