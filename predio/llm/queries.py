@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from predio.llm import bpe, fingerprint, line_dedup, lm_score, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup
+from predio.llm import bpe, decontamination, fingerprint, line_dedup, lm_score, minhash, mixing, pii, quality_classifier, quality_rules, spelling, suffix_dedup, vector_codes
 from predio.llm.common import small_batches
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,6 +64,21 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
+
+
 OP1_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -141,6 +156,99 @@ reach AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM reach GROUP BY id) c ON c.id = d.doc_id"""
 
+OP11_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, r, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]{{7,}}')) AS r FROM documents)
+  GROUP BY doc_id, r),
+coded AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM runs),
+hashed AS (
+  SELECT r, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2),
+      lambda j: CAST(16 * (strpos('0123456789ABCDEF', substr(x, 2 * j + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, 2 * j + 2, 1)) - 1 AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM coded, crc),
+edited AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, cut.word FROM words a JOIN cut ON cut.k = a.word
+  UNION SELECT cut.word, a.word FROM words a JOIN cut ON cut.k = a.word),
+ranked AS (
+  SELECT a, b, n AS b_n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place
+  FROM near JOIN words ON word = b),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 10 * n THEN b END AS form, CASE WHEN b_n >= 10 * n THEN b_n END AS form_n
+  FROM words LEFT JOIN ranked ON a = word AND place = 1),
+walk AS (
+  SELECT word, word AS root, form AS onward FROM formed
+  UNION ALL SELECT w.word, w.onward, f.form FROM walk w JOIN formed f ON f.word = w.onward)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.root FROM formed f JOIN walk w ON w.word = f.word AND w.onward IS NULL"""
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+cut AS (SELECT DISTINCT item, ws[i:i + 9] AS w FROM (SELECT item, ws, unnest(range(1, greatest(2, len(ws) - 8))) AS i FROM b WHERE len(ws) > 0)),
+phrases AS (SELECT DISTINCT w FROM cut),
+sizes AS (SELECT DISTINCT len(w) AS k FROM phrases),
+places AS (SELECT doc_id, k, i, ws[i:i + k - 1] AS w FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, sizes)),
+met AS (SELECT doc_id, i, k, w FROM places JOIN phrases USING (w)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM met) GROUP BY doc_id),
+items AS (SELECT DISTINCT doc_id, item FROM met JOIN cut USING (w)),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM items GROUP BY doc_id),
+tokens AS (SELECT doc_id, i, ws[i] AS term FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+counts AS (SELECT term, count(*) AS n FROM tokens GROUP BY term),
+terms AS (SELECT DISTINCT w, unnest(w) AS term FROM phrases),
+ranked AS (
+  SELECT w, term, row_number() OVER (PARTITION BY w ORDER BY counts.n, term) AS place, count(*) OVER (PARTITION BY w) AS got FROM terms JOIN counts USING (term)),
+probes AS (
+  SELECT x.w, x.term AS t1, y.term AS t2 FROM ranked x LEFT JOIN ranked y ON y.w = x.w AND y.place = 2 WHERE x.place = 1 AND x.got = len(list_distinct(x.w))),
+pairs AS (SELECT DISTINCT t1, t2 FROM probes),
+close AS (
+  SELECT DISTINCT a.doc_id, t1, t2 FROM pairs JOIN tokens a ON a.term = t1 LEFT JOIN tokens c ON c.doc_id = a.doc_id AND c.term = t2
+  WHERE t2 IS NULL OR abs(a.i - c.i) <= 20),
+near AS (
+  SELECT doc_id, count(DISTINCT item) AS n FROM close JOIN probes ON probes.t1 = close.t1 AND probes.t2 IS NOT DISTINCT FROM close.t2 JOIN cut USING (w) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(listed.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AS contaminated, coalesce(near.n, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN near USING (doc_id)"""
+
+
+def _op13_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds as one table of assignments and one of entries each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+met{r} AS (
+  SELECT vec_id, p, min({{'d': list_sum(list_transform(range(1, 5), lambda k: (parts.x[k] - b.x[k]) * (parts.x[k] - b.x[k]))), 'e': e}}) AS m
+  FROM parts JOIN book{r} b USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""
+sums{r} AS (
+  SELECT parts.p, m.e AS e, count(*) AS n, [CAST(sum(x[1]) AS BIGINT), CAST(sum(x[2]) AS BIGINT), CAST(sum(x[3]) AS BIGINT), CAST(sum(x[4]) AS BIGINT)] AS s
+  FROM met{r} JOIN parts USING (vec_id, p) GROUP BY parts.p, m.e),
+book{r + 1} AS (
+  SELECT p, e, CASE WHEN n IS NULL THEN x ELSE list_transform(s, lambda v: (v - ((v % n) + n) % n) // n) END AS x FROM book{r} LEFT JOIN sums{r} USING (p, e))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, v[4 * p + 1:4 * p + 4] AS x FROM kept, range(16) AS r(p)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts QUALIFY e < 64),{",".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM met{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (vec_id)"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -152,5 +260,16 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
+    "op11_spelling": op11_spelling,
+    "op12_decontamination": op12_decontamination,
+    "op13_vector_codes": op13_vector_codes,
+}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op2_suffix_dedup": OP2_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op7_minhash": OP7_SQL,
+    "op11_spelling": OP11_SQL,
+    "op12_decontamination": OP12_SQL,
+    "op13_vector_codes": _op13_sql(),
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "op7_minhash": OP7_SQL}
