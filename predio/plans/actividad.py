@@ -19,10 +19,10 @@ TOPE_HORA = 5
 
 def estadisticas_por_dia(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits per project and day, days without any included."""
-    v = eventos_validos(spark, sf_dir).where("tipo = 'visita'")
-    dias = v.agg(F.explode(F.sequence(F.min("dia"), F.max("dia"))).alias("dia"))
-    todos = v.select("proyecto_id").distinct().crossJoin(F.broadcast(dias))  # 25 projects by the days of the window
-    return todos.join(v.groupBy("proyecto_id", "dia").agg(F.count("*").alias("n")), ["proyecto_id", "dia"], "left").select("proyecto_id", "dia", F.coalesce("n", F.lit(0)).alias("visitas"))
+    n = eventos_validos(spark, sf_dir).where("tipo = 'visita'").groupBy("proyecto_id", "dia").agg(F.count("*").alias("n"))
+    dias = n.agg(F.explode(F.sequence(F.min("dia"), F.max("dia"))).alias("dia"))
+    todos = n.select("proyecto_id").distinct().crossJoin(F.broadcast(dias))  # projects by the days of the window
+    return todos.join(n, ["proyecto_id", "dia"], "left").select("proyecto_id", "dia", F.coalesce("n", F.lit(0)).alias("visitas"))
 
 
 def estadisticas_por_semana(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +34,17 @@ def estadisticas_por_semana(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estadisticas_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty lots of most interest: events, leads and holds of a lot, and its state now (null if it is gone)."""
-    v = eventos_validos(spark, sf_dir).where("parcela <> ''").select("parcela", "tipo")
-    leads = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select((F.col("l_partkey") % 120).cast("string").alias("parcela"), F.lit("interesa").alias("tipo"))
-    holds = reservas(spark, sf_dir).where("estado = 'pendiente'").select((F.col("comprador") % 120).cast("string").alias("parcela"), F.lit("reservas").alias("tipo"))
+    """The fifty lots (of a project each) of most interest: events, leads and holds, and the state now (null if the lot is gone)."""
+    clave = ["proyecto_id", "parcela"]
+    v = eventos_validos(spark, sf_dir).where("parcela <> ''").select(*clave, "tipo")
+    de = lambda df, lote, tipo: df.select((F.col(lote) % 25).cast("int").alias("proyecto_id"), F.col(lote).cast("string").alias("parcela"), F.lit(tipo).alias("tipo"))
+    leads = de(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'"), "l_partkey", "interesa")
+    holds = de(reservas(spark, sf_dir).where("estado = 'pendiente'"), "comprador", "reservas")
     cuenta = [F.count_if(F.col("tipo") == t).alias(t) for t in ("ficha", "whatsapp", "reservar", "interesa", "reservas")]
-    t = v.unionByName(leads).unionByName(holds).groupBy("parcela").agg(*cuenta)
-    lotes = parcelas(spark, sf_dir).where("id % 7 <> 0").select(F.col("id").cast("string").alias("parcela"), "estado")
-    primeros = t.orderBy(F.desc("ficha"), F.desc("interesa"), F.desc("whatsapp"), "parcela").limit(50)
-    return primeros.join(lotes, "parcela", "left").select("parcela", "estado", "ficha", "whatsapp", "reservar", "interesa", "reservas")
+    t = v.unionByName(leads).unionByName(holds).groupBy(*clave).agg(*cuenta)
+    lotes = parcelas(spark, sf_dir).where("id % 7 <> 0").select(F.col("proyecto_id").cast("int").alias("proyecto_id"), F.col("id").cast("string").alias("parcela"), "estado")
+    primeros = t.orderBy(F.desc("ficha"), F.desc("interesa"), F.desc("whatsapp"), *clave).limit(50)
+    return primeros.join(lotes, clave, "left").select(*clave, "estado", "ficha", "whatsapp", "reservar", "interesa", "reservas")
 
 
 def upsert_contadores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,13 +172,13 @@ ORACLES = {
   FROM (SELECT dia, sum(visitas) AS visitas FROM {_DIAS} GROUP BY dia) GROUP BY 1""",
     "estadisticas_top": f"""
   SELECT t.*, l.estado FROM (
-    SELECT parcela, count(*) FILTER (tipo = 'ficha') AS ficha, count(*) FILTER (tipo = 'whatsapp') AS whatsapp, count(*) FILTER (tipo = 'reservar') AS reservar,
+    SELECT proyecto_id, parcela, count(*) FILTER (tipo = 'ficha') AS ficha, count(*) FILTER (tipo = 'whatsapp') AS whatsapp, count(*) FILTER (tipo = 'reservar') AS reservar,
            count(*) FILTER (tipo = 'interesa') AS interesa, count(*) FILTER (tipo = 'reservas') AS reservas
-    FROM (SELECT parcela, tipo FROM ({VALIDOS_SQL}) WHERE parcela <> ''
-          UNION ALL SELECT CAST(l_partkey % 120 AS VARCHAR), 'interesa' FROM lineitem WHERE l_returnflag = 'R'
-          UNION ALL SELECT CAST(comprador % 120 AS VARCHAR), 'reservas' FROM {RESERVAS_SQL} WHERE estado = 'pendiente')
-    GROUP BY parcela ORDER BY ficha DESC, interesa DESC, whatsapp DESC, parcela LIMIT 50) t
-  LEFT JOIN (SELECT CAST(id AS VARCHAR) AS parcela, estado FROM {PARCELAS_SQL} WHERE id % 7 <> 0) l USING (parcela)""",
+    FROM (SELECT proyecto_id, parcela, tipo FROM ({VALIDOS_SQL}) WHERE parcela <> ''
+          UNION ALL SELECT CAST(l_partkey % 25 AS INTEGER), CAST(l_partkey AS VARCHAR), 'interesa' FROM lineitem WHERE l_returnflag = 'R'
+          UNION ALL SELECT CAST(comprador % 25 AS INTEGER), CAST(comprador AS VARCHAR), 'reservas' FROM {RESERVAS_SQL} WHERE estado = 'pendiente')
+    GROUP BY ALL ORDER BY ficha DESC, interesa DESC, whatsapp DESC, proyecto_id, parcela LIMIT 50) t
+  LEFT JOIN (SELECT CAST(proyecto_id AS INTEGER) AS proyecto_id, CAST(id AS VARCHAR) AS parcela, estado FROM {PARCELAS_SQL} WHERE id % 7 <> 0) l USING (proyecto_id, parcela)""",
     "upsert_contadores": f"SELECT proyecto_id, dia, parcela, tipo, count(*) AS cantidad FROM ({VALIDOS_SQL}) GROUP BY ALL",
     "islas_eventos": f"""
   WITH b AS (SELECT id, usuario % 25 AS cliente, CAST(cuando AS DATE) AS dia, usuario % 2 AS actor, que, lote // 50 AS detalle, cuando FROM {BITACORA_SQL}),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from predio.plans import actividad, consola, escalares, estadisticas, inventario, medidas, miradas, planillas, planos, visor
+from predio.plans import actividad, consola, escalares, estadisticas, inventario, medidas, miradas, planillas, planos, publicacion, visor
 from predio.streaming import continuas
 
-MODULES = (estadisticas, inventario, actividad, medidas, consola, escalares, planillas, visor, planos, miradas, continuas)
+MODULES = (estadisticas, inventario, actividad, medidas, consola, escalares, planillas, visor, planos, miradas, publicacion, continuas)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

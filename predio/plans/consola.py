@@ -19,13 +19,19 @@ CUPOS = {1: 10, 2: 30, 3: 1000}
 CELDA = 50.0
 
 
+#: How a lot may be written, {0} its number and {1} a smaller one, and its normal form as SQL (null: none).
+FORMAS = (
+    ("LOTE {0}", "{0}"), ("Parcela 0{0}", "{0}"), (" lote b-00{0}", "B{0}"), ("{0}.0", "{0}"), ("N° {0}-0{1}", "{0}-{1}"), ("LOTE-{0}", "{0}"), ("2024/{0}", None),
+    ("N {0}", "N{0}"), ("LOTE N {0}", "N{0}"), ("N {0}-{1}", "N{0}"), ("N.{0}", None), ("LOTE {0},0", None), ("-{0}", None), ("LOTE--{0}", None), ("{0}-", None),
+    ("PARCELA NO. {0}", "{0}"), ("lote # {0}", "{0}"), ("{0},00", "{0}"), ("PARCELA{0}", "A{0}"), ("{0}.5", None),
+)
+
+
 def lotes_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lot names written in seven ways, in their normal form."""
+    """Lot names written in twenty ways, in their normal form."""
     k = F.col("p_partkey")
-    t = k.cast("string")
-    par = F.concat(F.lit("N° "), (k % 20).cast("string"), F.lit("-0"), (k % 50).cast("string"))
-    formas = [F.concat(F.lit("LOTE "), t), F.concat(F.lit("Parcela 0"), t), F.concat(F.lit(" lote b-00"), t), F.concat(t, F.lit(".0")), par, F.concat(F.lit("LOTE-"), t), F.concat(F.lit("2024/"), t)]
-    escrito = F.element_at(F.array(*formas), (k % 7 + 1).cast("int"))
+    formas = [F.format_string(x.replace("{0}", "%1$d").replace("{1}", "%2$d"), k, k % 50) for x, _ in FORMAS]
+    escrito = F.element_at(F.array(*formas), (k % len(FORMAS) + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", texto.lote_id(escrito).alias("lote"))
 
 
@@ -171,9 +177,8 @@ _FUNCIONES = (
 )
 QUERIES = {f.__name__: f for f in _FUNCIONES}
 ORACLES = {
-    "lotes_ids": """
-  SELECT p_partkey, CASE p_partkey % 7 WHEN 2 THEN 'B' || p_partkey WHEN 4 THEN (p_partkey % 20) || '-' || (p_partkey % 50) WHEN 6 THEN NULL
-    ELSE CAST(p_partkey AS VARCHAR) END AS lote FROM part""",
+    "lotes_ids": f"""
+  SELECT p_partkey, CASE p_partkey % {len(FORMAS)} {" ".join(f"WHEN {i} THEN '" + y.replace("{0}", "' || p_partkey || '").replace("{1}", "' || (p_partkey % 50) || '") + "'" for i, (_, y) in enumerate(FORMAS) if y)} END AS lote FROM part""",
     "estados_normales": """
   SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'disponible' WHEN 1 THEN 'disponible' WHEN 2 THEN 'reservado' WHEN 3 THEN 'vendido' WHEN 4 THEN 'reservado'
     WHEN 5 THEN 'vendido' ELSE 'no_disponible' END AS estado FROM part""",

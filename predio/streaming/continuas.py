@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from predio.plans import actividad
-from predio.plans.estadisticas import validos
+from predio.plans.estadisticas import aceptados, validos
 from predio.plans.vistas import parcelas
 from predio.session import shared_folder, table
 
@@ -32,12 +32,13 @@ def eventos(spark: SparkSession, sf_dir: str, por_lote: int = POR_LOTE) -> DataF
 
 
 def sumar_contadores(llegan: DataFrame, lotes: DataFrame, destino: str, control: str):
-    """Counters of each micro-batch under its number; a batch that is run again replaces its own."""
+    """Counters of each micro-batch under its number; a batch that is run again replaces its own.
+    What a visitor sends at once comes in one file, so requests that are too long are refused by batch."""
 
     def anotar(lote: DataFrame, numero: int) -> None:
-        lote.groupBy(*CLAVE).agg(F.count("*").alias("cantidad")).write.mode("overwrite").parquet(f"{destino}/lote={numero}")
+        validos(aceptados(lote), lotes).groupBy(*CLAVE).agg(F.count("*").alias("cantidad")).write.mode("overwrite").parquet(f"{destino}/lote={numero}")
 
-    return validos(llegan, lotes).writeStream.foreachBatch(anotar).option("checkpointLocation", control).trigger(availableNow=True).start()
+    return llegan.writeStream.foreachBatch(anotar).option("checkpointLocation", control).trigger(availableNow=True).start()
 
 
 def contadores_continuos(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,8 @@ def test_names_and_amounts_as_written(spark):
     from predio.functions import texto
 
     lotes = {"LOTE 12": "12", "12.0": "12", "A-0420": "A420", "lote b 07": "B7", "N° 7-01": "7-1", "#15": "15", "PARCELA 3": "3", "sin número": None, "": None, None: None}
+    lotes |= {"N 5": "N5", "LOTE N 12": "N12", "N 12-3": "N12", "N.5": None, "LOTE 12,0": None, "-5": None, "LOTE -5": "5", "LOTE--12": None, "12-": None, "12.5": None, "12/03/2024": None, "A": None}
+    lotes |= {"PARCELA N° 12": "12", "Nº 12": "12", "12,00": "12", "7 - 01": "7-1", "LOTE 8-01": "8-1", "LOTE #12": "12", "a-1": "A1", "PARCELA12": "A12", "lote 007": "7", "9" * 45: "9" * 45, "LOTE 12.": "12", "12 3": None}
     montos = {"$ 13.124": 13124.0, "13.12": 13.12, "1.234.567,5": 1234567.5, "-5": -5.0, "1,2,3": None, "UF 1.500": 1500.0, "consultar": None, None: None}
     normales = {"João": "joao", "Ýngrid Škoda": "yngrid skoda", "Ångström": "angstrom", "Ñuñoa  Ltda..": "nunoa ltda", "ﬁn": "fin"}
     for casos, f in ((lotes, texto.lote_id), (montos, texto.monto), (normales, texto.normal)):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from predio.plans.actividad import dedup_24h
-from predio.plans.estadisticas import validos
+from predio.plans.estadisticas import aceptados, envio, validos
 from predio.plans.vistas import parcelas
 from predio.session import table
 from predio.streaming import continuas
@@ -13,16 +13,16 @@ SF = "/root/testdata/sf0.001"
 
 def test_restart_goes_on(spark, tmp_path):
     todos = table(spark, SF, "events")
-    corte = todos.selectExpr("percentile_approx(event_id, 0.5)").first()[0]
-    for parte in ("event_id <= {}", "event_id > {}"):
-        todos.where(parte.format(corte)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+    corte = todos.select(envio()).selectExpr("min(envio) + 1").first()[0]
+    for parte in ("envio < {}", "envio >= {}"):
+        todos.withColumn("envio", envio()).where(parte.format(corte)).drop("envio").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
         llegan = continuas.eventos(spark, f"{tmp_path}/in")
         continuas.sumar_contadores(llegan, parcelas(spark, SF), f"{tmp_path}/n", f"{tmp_path}/c1").awaitTermination()
         salida = continuas.admitir(continuas.eventos(spark, f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/d")
         salida.option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
     assert {r.lote for r in spark.read.parquet(f"{tmp_path}/n").select("lote").distinct().collect()} == {0, 1}
     got = spark.read.parquet(f"{tmp_path}/n").groupBy(*continuas.CLAVE).agg(F.sum("cantidad").alias("n"))
-    want = validos(todos, parcelas(spark, SF)).groupBy(*continuas.CLAVE).agg(F.count("*").alias("n"))
+    want = validos(aceptados(todos), parcelas(spark, SF)).groupBy(*continuas.CLAVE).agg(F.count("*").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     ids = [r.id for r in spark.read.parquet(f"{tmp_path}/d").collect()]
     assert sorted(ids) == sorted(r.id for r in dedup_24h(spark, SF).collect())
