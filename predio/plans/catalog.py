@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from predio.plans import actividad, consola, escalares, estadisticas, inventario, medidas, miradas, planillas, planos, publicacion, visor
-from predio.streaming import continuas
+from predio.streaming import apartados, continuas
 
-MODULES = (estadisticas, inventario, actividad, medidas, consola, escalares, planillas, visor, planos, miradas, publicacion, continuas)
+MODULES = (estadisticas, inventario, actividad, medidas, consola, escalares, planillas, visor, planos, miradas, publicacion, continuas, apartados)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
