@@ -154,70 +154,137 @@ VALID: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _candidates(text: Column, kind: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches."""
-    pieces = F.split(F.regexp_replace(text, PATTERNS[kind], f"{MARK}$0{MARK}"), MARK)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("value")))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    found = F.aggregate(pieces, start, step, lambda acc: acc["found"])
+#: Pieces on either side of a match that hold `REACH` characters at least, or all there are: every
+#: second piece is a match, and those have five characters or more.
+NEIGHBOURS = 2 * REACH // 5
+#: What is there of each kind before it is scored: pieces, their lengths, offsets, ends and starts.
+SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
+
+
+def _pieces(text: Column, kind: str) -> Column:
+    """The text cut at a pattern's matches (a match is every second piece, from the second one on);
+    for iban at each possible start. Null if there is none."""
+    if kind == "iban":
+        body = PATTERNS["iban"].removeprefix(NOT_BEFORE).removesuffix(NOT_AFTER)
+        marked = F.regexp_replace(text, f"{NOT_BEFORE}(?={body}{NOT_AFTER})", MARK)
+    else:
+        marked = F.regexp_replace(text, PATTERNS[kind], f"{MARK}$0{MARK}")
     possible = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike(PATTERNS[kind])
-    return F.when(possible, found).otherwise(empty)
+    return F.when(possible, F.split(marked, MARK))
 
 
-def _account_numbers(text: Column) -> Column:
-    """As _candidates, for iban: of each start the longest end that passes mod-97, since what
-    follows a number may look like its end; none begins inside the one before."""
+def _bases(lengths: Column) -> Column:
+    """Offsets of every block of pieces; a block has about as many pieces as there are blocks, so
+    offsets take far less than the square of their number. The lengths stand in a column, and only
+    single ones are taken, since an array's slice costs as much as the array."""
+    n, wide = F.size(lengths), _wide(lengths)
+    total = lambda k: F.aggregate(F.sequence(k * wide, F.least(n, (k + 1) * wide) - 1), F.lit(0).cast("long"), lambda t, i: t + F.get(lengths, i))
+    none = F.array(F.lit(0).cast("long"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / wide).cast("int")), none, lambda got, k: F.concat(got, F.array(F.element_at(got, -1) + total(k))))
+
+
+def _wide(lengths: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths)))).cast("int")
+
+
+def _offsets(lengths: Column, bases: Column) -> Column:
+    """Offset of every piece."""
+    n, wide = F.size(lengths), _wide(lengths)
+
+    def block(k: Column) -> Column:
+        inner = F.sequence(k * wide, F.least(n, (k + 1) * wide) - 1)
+        ends = F.aggregate(inner, F.array(F.get(bases, k)), lambda got, i: F.concat(got, F.array(F.element_at(got, -1) + F.get(lengths, i))))
+        return F.slice(ends, 1, F.size(ends) - 1)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bases) - 2), block))
+
+
+def _joined_around(ends: Column, at: Column, first: int, last: int) -> Column:
+    """What stands in some pieces next to one, from `first` to `last` places on, joined; those that aren't there are empty."""
+    return F.array_join(F.transform(F.sequence(at + first, at + last), lambda j: F.get(ends, j)), "")
+
+
+def _found(kind: str, pieces: Column, offsets: Column, tails: Column, heads: Column) -> Column:
+    """The valid matches with their score, from the threshold on. tails, heads: the last and the first
+    `REACH` characters of every piece."""
+
+    def score(i: Column) -> Column:
+        before = F.substring(_joined_around(tails, i, -NEIGHBOURS, -1), -REACH, REACH)
+        after = F.substring(_joined_around(heads, i, 1, NEIGHBOURS), 1, REACH)
+        return _span(kind, F.get(offsets, i), F.get(offsets, i) + F.length(F.get(pieces, i)), before, after)
+
+    places = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)))
+    return _counted(kind, F.transform(F.filter(places, lambda i: VALID[kind](F.get(pieces, i))), score))
+
+
+def _account_numbers(offsets: Column, tails: Column, heads: Column) -> Column:
+    """As _found, for iban: of each start the longest end that passes mod-97, since what follows a
+    number may look like its end; none begins inside the one before. heads: first characters of
+    what begins at every start, enough for the longest number and the context after it."""
     body = PATTERNS["iban"].removeprefix(NOT_BEFORE).removesuffix(NOT_AFTER)
-    pieces = F.split(F.regexp_replace(text, f"{NOT_BEFORE}(?={body}{NOT_AFTER})", MARK), MARK)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.lit(0).cast("long").alias("free"), empty.alias("found"))
 
-    def longest(at: Column) -> Column:
-        first = lambda n: F.substring(text, (at + 1).cast("int"), n)
-        fits = lambda n: (F.length(first(n)) == n) & first(n).rlike(f"^{body}\\z") & ~F.substring(text, (at + n + 1).cast("int"), F.lit(1)).rlike("[A-Za-z0-9]")
+    def longest(i: Column) -> Column:
+        text = F.get(heads, i)
+        first = lambda n: F.substring(text, F.lit(1), n)
+        fits = lambda n: (F.length(first(n)) == n) & first(n).rlike(f"^{body}\\z") & ~F.substring(text, n + 1, F.lit(1)).rlike("[A-Za-z0-9]")
         return F.get(F.filter(F.sequence(F.lit(LONGEST_IBAN), F.lit(15), F.lit(-1)), lambda n: F.when(fits(n), mod97(first(n))).otherwise(False)), F.lit(0))
 
-    def step(acc: Column, piece: Column) -> Column:
-        at = acc["at"]
-        n = F.when(acc["inside"] & (at >= acc["free"]), longest(at))
-        one = F.array(F.struct(at.alias("start"), (at + n).alias("end"), F.substring(text, (at + 1).cast("int"), n).alias("value")))
-        found = F.when(n.isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"])
-        return F.struct((at + F.length(piece)).alias("at"), F.lit(True).alias("inside"), F.coalesce(at + n, acc["free"]).alias("free"), found.alias("found"))
+    def score(x: Column) -> Column:
+        i, n = x["i"], x["n"]
+        before = F.substring(_joined_around(tails, i, -NEIGHBOURS, -1), -REACH, REACH)
+        return _span("iban", F.get(offsets, i), F.get(offsets, i) + n, before, F.substring(F.get(heads, i), n + 1, F.lit(REACH)))
+
+    places = F.when(F.size(offsets) > 1, F.sequence(F.lit(1), F.size(offsets) - 1))
+    ended = F.filter(F.transform(places, lambda i: F.struct(i.alias("i"), longest(i).alias("n"))), lambda x: x["n"].isNotNull())
+    return F.transform(ended, score)
 
-    return F.when(text.rlike(PATTERNS["iban"]), F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(empty)
 
+def _apart(spans: Column) -> Column:
+    """Spans in order, without those that begin inside the one before that stays."""
+    none = F.struct(F.array().cast(SPAN).alias("kept"), F.lit(0).cast("long").alias("free"))
 
-def _scored(text: Column, candidates: Column, kind: str) -> Column:
-    """The valid candidates with their score, from the threshold on."""
+    def step(got: Column, x: Column) -> Column:
+        fits = x["start"] >= got["free"]
+        return F.struct(F.when(fits, F.concat(got["kept"], F.array(x))).otherwise(got["kept"]).alias("kept"), F.when(fits, x["end"]).otherwise(got["free"]).alias("free"))
+
+    touch = F.exists(F.sequence(F.lit(1), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] < F.get(spans, i - 1)["end"])
+    return F.when((F.size(spans) > 1) & touch, F.aggregate(spans, none, step, lambda got: got["kept"])).otherwise(spans)
+
+
+def _span(kind: str, start: Column, end: Column, before: Column, after: Column) -> Column:
+    around = F.concat(before, F.lit(" "), after)
+    adds = F.when(around.rlike(CONTEXT[kind]), CONTEXT_ADDS).otherwise(0.0) - F.when(around.rlike(DOUBTS[kind]), DOUBT_TAKES).otherwise(0.0)
+    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(SCORES[kind]) + adds)), 2).alias("score"))
 
-    def score(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - REACH + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(REACH)).cast("int"))
-        after = F.substring(text, (x["end"] + 1).cast("int"), F.lit(REACH))
-        around = F.concat(before, F.lit(" "), after)
-        adds = F.when(around.rlike(CONTEXT[kind]), CONTEXT_ADDS).otherwise(0.0) - F.when(around.rlike(DOUBTS[kind]), DOUBT_TAKES).otherwise(0.0)
-        return F.struct(
-            F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-            F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(SCORES[kind]) + adds)), 2).alias("score"),
-        )
 
-    valid = F.transform(F.filter(candidates, lambda x: VALID[kind](x["value"])), score)
-    return valid if kind in KINDS else F.filter(valid, lambda x: x["score"] >= THRESHOLD)
+def _counted(kind: str, spans: Column) -> Column:
+    return spans if kind in KINDS else F.filter(spans, lambda x: x["score"] >= THRESHOLD)
 
 
 def _spanned(docs: DataFrame) -> DataFrame:
-    """doc_id, __text and spans."""
+    """doc_id, __text and spans. Each step's arrays stand in columns of their own: within a
+    lambda they would be made anew for every match."""
     marked = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(STAND_IN))
+    c = lambda name, k: F.col(f"__{name}_{k}")
+    every = lambda f, name: [f(k).alias(f"__{name}_{k}") for k in PATTERNS]
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"), marked.alias("__marked"))
-    d = d.select("doc_id", "__text", "__marked", *[(_account_numbers(F.col("__marked")) if k == "iban" else _candidates(F.col("__marked"), k)).alias("__" + k) for k in PATTERNS])
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
-    spans = F.concat(*[F.when(F.size("__" + k) > 0, _scored(F.col("__marked"), F.col("__" + k), k)).otherwise(none) for k in PATTERNS])
-    return d.select("doc_id", "__text", spans.alias("spans"))
+    d = d.select("doc_id", "__text", *every(lambda k: _pieces(F.col("__marked"), k), "pieces"))
+    several = lambda k, x: F.when(F.size(c("pieces", k)) > 1, x)
+    d = d.select(
+        "*", *every(lambda k: several(k, F.transform(c("pieces", k), lambda p: F.length(p).cast("long"))), "lengths"),
+        *every(lambda k: several(k, F.transform(c("pieces", k), lambda p: F.substring(p, -REACH, REACH))), "tails"),
+        *every(lambda k: several(k, F.transform(c("pieces", k), lambda p: F.substring(p, 1, LONGEST_IBAN + REACH if k == "iban" else REACH))), "heads"),
+    )
+    d = d.select("*", *every(lambda k: several(k, _bases(c("lengths", k))), "bases"))
+    d = d.select("*", *every(lambda k: several(k, _offsets(c("lengths", k), c("bases", k))), "offsets"))
+    # an account number may go on over the starts inside it: every start with what follows it
+    whole = F.transform(F.sequence(F.lit(0), F.size(c("heads", "iban")) - 1), lambda i: F.substring(_joined_around(c("heads", "iban"), i, 0, (LONGEST_IBAN + REACH) // 4), 1, LONGEST_IBAN + REACH))
+    d = d.withColumn("__starts", several("iban", whole))
+    d = d.withColumn("__numbers", several("iban", _account_numbers(c("offsets", "iban"), c("tails", "iban"), F.col("__starts"))))
+    none = F.array().cast(SPAN)
+    spans = {k: several(k, _found(k, c("pieces", k), c("offsets", k), c("tails", k), c("heads", k))) for k in PATTERNS if k != "iban"}
+    spans["iban"] = _counted("iban", _apart(F.col("__numbers")))
+    return d.select("doc_id", "__text", F.concat(*[F.coalesce(spans[k], none) for k in PATTERNS]).alias("spans"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

@@ -137,3 +137,19 @@ def test_awkward_texts_and_no_python(awkward, odd, nothing):
         assert sorted(((r.doc_id, base([(s.kind, s.start, s.end) for s in r.spans])) for r in out.collect()), key=str) == texts
         plan = out._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_dense_in_matches(spark):
+    """5,000 and 20,000 addresses in one text, and kinds that follow each other closely: spans and context."""
+    mixed = "mail a@b.co 1.2.3.4,+1 437 555 0689;4111 1111 1111 1111 version 9.9.9.9 x@y.z/" * 700
+    texts = ["mail a@b.co, " * 5000, "mail a@b.co, " * 20_000, mixed, "a@b.c;" * 300, "IBAN GB82 WEST 1234 5698 7654 32, " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    for i, text in enumerate(texts):
+        spans = [(s.kind, s.start, s.end) for s in rows[i]]
+        assert base(spans) == brute(text)
+        for s in [x for x in rows[i] if x.kind in ("email", "ip")][:: max(1, len(spans) // 200)]:
+            around = text[max(0, s.start - pii.REACH) : s.start] + " " + text[s.end : s.end + pii.REACH]
+            plus = pii.CONTEXT_ADDS * bool(re.search(pii.CONTEXT[s.kind], around)) - pii.DOUBT_TAKES * bool(re.search(pii.DOUBTS[s.kind], around))
+            assert s.score == pytest.approx(max(0, min(1, pii.SCORES[s.kind] + plus)))
+    assert len(rows[1]) == 20_000 and sum(s.kind == "iban" for s in rows[4]) == 300
