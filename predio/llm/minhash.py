@@ -17,7 +17,8 @@ of their common changes is at least w_a + w_b - n. So each member's changes are
 rarest in the leader's crowd first, and a prefix of them is enough to find every such pair:
 b needs (w_b + 1) / 9 common changes at least, and a (w_a - n) / 5, as w_b is at least 4
 times what is common. Where two prefixes meet, the changes still to come bound what can be
-common, so few pairs are formed; those are confirmed on full sets. Pairs within a cluster
+common; a row that no row of another component can match by that bound is dropped before rows
+meet, so few pairs are formed; those are confirmed on full sets. Pairs within a cluster
 aren't listed: of the members that meet in a change, one that is apart from the leader
 leads the others again, and only members that are still in different components after
 `ROUNDS` such rounds are paired.
@@ -261,6 +262,22 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("lead", "member", "lead_items", "member_items").mapInArrow(run, COMPARED)
 
 
+def _worth_meeting(named: DataFrame, open_lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the open lists that can be in a pair (those that are apart, and all), with `reach`,
+    the largest w that a partner may have: 9 * (d - at) - w + n. A row stays only if a row of another
+    component in its list is within its reach, so clusters that are near each other but not linked
+    don't meet row by row."""
+    rows = named.join(open_lists.select("lead", "item"), ["lead", "item"], "left_semi").withColumn("reach", 9 * (F.col("d") - F.col("at")) - F.col("w") + F.col("n"))
+    per_component = rows.groupBy("lead", "item", "c").agg(F.min("w").alias("w"), F.min(F.when(F.col("apart"), F.col("w"))).alias("w_apart"))
+    of = lambda w: F.min(F.when(F.col(w).isNotNull(), F.struct(F.col(w).alias("w"), "c")))
+    least = per_component.groupBy("lead", "item").agg(of("w").alias("any"), of("w_apart").alias("apart_one"))
+    other = lambda w, one: F.min(F.when(F.col("c") != F.col(f"{one}.c"), F.col(w)))
+    second = per_component.join(least, ["lead", "item"]).groupBy("lead", "item").agg(F.first("any").alias("any"), F.first("apart_one").alias("apart_one"), other("w", "any").alias("any_other"), other("w_apart", "apart_one").alias("apart_other"))
+    near = lambda one, rest: F.when(F.col("c") == F.col(f"{one}.c"), F.col(rest)).otherwise(F.col(f"{one}.w"))
+    judged = checkpointed(rows.join(second, ["lead", "item"]).select(*rows.columns, (F.col("reach") >= near("any", "any_other")).alias("meets_any"), (F.col("reach") >= near("apart_one", "apart_other")).alias("meets_apart")).where("meets_any or meets_apart"))
+    return judged.where("apart and meets_any"), judged.where("meets_apart")
+
+
 def _between_members(compared: DataFrame) -> DataFrame:
     """Links (a, b) between members of one leader of which a isn't linked with it."""
     crowds = compared.groupBy("lead").agg(F.count("*").alias("n"), F.bool_or(~F.col("linked")).alias("apart")).where("n > 1 and apart").select("lead")
@@ -336,11 +353,10 @@ def _between_members(compared: DataFrame) -> DataFrame:
                 known = known.unionByName(found[-1])
                 label = components(known)
                 continue
-        left = named.join(open_lists.drop("n", "head"), ["lead", "item"], "left_semi").where("apart")
-        left = left.select("lead", "item", F.col("member").alias("a"), F.col("c").alias("c_a"), F.col("at").alias("at_a"), F.col("d").alias("d_a"), F.col("w").alias("w_a"), "n")
-        right = named.select("lead", "item", F.col("member").alias("b"), F.col("c").alias("c_b"), F.col("at").alias("at_b"), F.col("d").alias("d_b"), F.col("w").alias("w_b"))
-        possible = 9 * F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")) >= F.col("w_a") + F.col("w_b") - F.col("n")
-        met = left.join(right, ["lead", "item"]).where(possible & (F.col("c_a") != F.col("c_b")))
+        left, right = _worth_meeting(named, open_lists)
+        left = left.select("lead", "item", F.col("member").alias("a"), F.col("c").alias("c_a"), F.col("w").alias("w_a"), F.col("reach").alias("reach_a"))
+        right = right.select("lead", "item", F.col("member").alias("b"), F.col("c").alias("c_b"), F.col("w").alias("w_b"), F.col("reach").alias("reach_b"))
+        met = left.join(right, ["lead", "item"]).where("c_a <> c_b and w_b <= reach_a and w_a <= reach_b")
         found.append(confirmed(met.select("lead", "a", "b")))
         break
     return reduce(DataFrame.unionByName, found)
@@ -349,11 +365,12 @@ def _between_members(compared: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Verified links (a, b), a < b, between classes: id, s1, s2, bands."""
     met = classes.select("id", F.explode("bands").alias("band"))
-    shared = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpointed(met.join(shared, "band"))
-    rank = met.groupBy("id").agg(F.struct(F.sum("n").alias("n"), (-F.col("id")).alias("first")).alias("rank"))
-    buckets = met.join(rank, "id").groupBy("band").agg(F.max("rank").alias("top")).select("band", (-F.col("top.first")).alias("lead"))
-    pairs = checkpointed(met.join(buckets, "band").where("id <> lead").select("lead", F.col("id").alias("member")).distinct())
+    rows = classes.count() * BANDS
+    shared = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("others", F.col("n"))
+    met = checkpointed(spread_join(met, shared, ["band"], rows))
+    rank = met.groupBy("id").agg(F.struct(F.sum("others").alias("n"), (-F.col("id")).alias("first")).alias("rank"))
+    buckets = met.join(rank, "id").groupBy("band").agg(F.max("rank").alias("top"), F.count("*").alias("n")).select("band", (-F.col("top.first")).alias("lead"), "n")
+    pairs = checkpointed(spread_join(met, buckets, ["band"], rows).where("id <> lead").select("lead", F.col("id").alias("member")).distinct())
     involved = pairs.select(F.col("lead").alias("id")).union(pairs.select("member")).distinct()
     sets = checkpointed(sets_of(docs, classes.select("id", "s1", "s2").join(involved, "id", "left_semi"), width))
     compared = checkpointed(_compare(pairs, sets))

@@ -86,3 +86,46 @@ def test_links_within_a_cluster_grow_in_proportion(spark):
         classes = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
         counts[n] = N.links(df, classes, 1).count()
     assert counts[160] < 8 * counts[40]  # 16 times, if each pair had a link
+
+
+def test_near_but_unlinked_clusters_meet_in_proportion(spark, monkeypatch):
+    """Three clusters 0.76 to 0.77 alike: what is joined row by row grows with the documents, not their square."""
+    joined = []
+    plain = N._worth_meeting
+
+    def counted(*args):
+        left, right = plain(*args)
+        a, b = (x.groupBy("lead", "item").agg(F.count("*").alias(n)) for x, n in ((left, "a"), (right, "b")))
+        joined.append(a.join(b, ["lead", "item"]).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0])
+        return left, right
+
+    monkeypatch.setattr(N, "_worth_meeting", counted)
+    found = {}
+    for n in (20, 80):
+        draw = random.Random(7)
+        bases = [[f"w{i}" for i in range(174)] + [f"{c}{i}" for i in range(26)] for c in "abc"]
+        rows = []
+        for k in range(3 * n):
+            words = list(bases[k % 3])
+            if k >= 3:
+                words[draw.randrange(174)] = f"x{draw.randrange(10_000)}"
+            rows.append((k, " ".join(words)))
+        joined.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        assert got(df, 1) == components(rows, 1)
+        found[n] = sum(joined)
+    assert found[80] <= 8 * max(found[20], 3 * 20)  # 16 times, if members met each other
+
+
+def test_a_band_that_many_documents_share(spark, monkeypatch):
+    """Frequent bands are dealt over tasks; the result is the same."""
+    monkeypatch.setattr(N, "SPREAD", 4)
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(120):
+        words = list(base) if k % 3 else [f"y{draw.randrange(9999)}" for _ in range(150)]
+        words[draw.randrange(150)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert got(df, 2) == components(rows, 2)
