@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from predio.plans import actividad, consola, escalares, estadisticas, inventario, medidas, miradas, planillas, planos, publicacion, visor
+from predio.plans import actividad, consola, dibujos, escalares, estadisticas, inventario, medidas, miradas, planillas, planos, publicacion, visor
 from predio.streaming import apartados, continuas
 
-MODULES = (estadisticas, inventario, actividad, medidas, consola, escalares, planillas, visor, planos, miradas, publicacion, continuas, apartados)
+MODULES = (estadisticas, inventario, actividad, medidas, consola, dibujos, escalares, planillas, visor, planos, miradas, publicacion, dibujos, continuas, apartados)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
