@@ -35,6 +35,8 @@ from predio.llm.common import checkpointed
 
 #: Words of the head, whose classes are learned, and the longest of these in bytes.
 VOCABULARY, LONGEST = 8000, 64
+#: Steps of counts to a doubling: the head's words are sought from the step on in which its last one lies.
+STEPS = 16
 #: Classes: the edge, eight of other words by length, the commonest words alone, the rest by weight.
 CLASSES, OTHER, ALONE = 64, 8, 24
 HIDDEN, WINDOW = 16, 2
@@ -139,7 +141,15 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     counts = checkpointed(counts)
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    short = counts.where(F.length("word") <= LONGEST)
+    # where rank VOCABULARY lies: only words from that step of counts on are sorted and sent
+    step = F.floor(F.log2("n") * STEPS)
+    rank, least = 0, 0
+    for r in sorted(short.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        rank, least = rank + r.words, r.step
+        if rank >= VOCABULARY:
+            break
+    top = short.where(step >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     others = np.zeros(OTHER)
     for r in counts.groupBy(F.least(F.floor(F.length("word") / 3), F.lit(OTHER - 1)).alias("class")).agg(F.sum("n").alias("n")).collect():
         others[r["class"]] = r.n

@@ -42,3 +42,34 @@ def test_odd_rows_and_nothing(spark, odd, nothing):
     assert len(out) == odd.count() and all(0 <= r.score <= 1 for r in out)
     assert all(r.score == 0.5 for r in C.classify(odd, labels.limit(0)).collect())
     assert C.classify(nothing, labels).count() == 0
+
+
+def test_sums_give_what_one_direct_solve_gives(spark):
+    """All scores again in one place: features one by one, ridge as least squares over stacked rows, and
+    the best monotone steps by the minimum over the maximum of means."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.score for r in C.classify(docs.repartition(7), labels).collect()}
+    rows = {r.doc_id: np.array(C.statistics(r.text or "")) for r in docs.collect()}
+    known = [(rows[r.doc_id], r.quality) for r in labels.collect() if r.quality is not None and binascii.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in rows]
+    x, y = np.array([k[0] for k in known]), np.array([k[1] for k in known], float)
+    draw = np.random.default_rng(C.SEED)
+    turn, shift = draw.normal(0, 1 / C.BANDWIDTH, (x.shape[1], C.FEATURES)), draw.uniform(0, 2 * np.pi, C.FEATURES)
+    mean, deviation = x.mean(0), x.std(0)
+    deviation = np.where(deviation > 1e-9, deviation, 1.0)
+
+    def features(s):
+        z = np.clip((s - mean) / deviation, -8, 8)
+        return np.append([np.sqrt(2 / C.FEATURES) * np.cos(sum(z[i] * turn[i, j] for i in range(len(z))) + shift[j]) for j in range(C.FEATURES)], 1.0)
+
+    f = np.array([features(s) for s in x])
+    size = f.shape[1]
+    weight = np.sqrt(C.RIDGE * len(y) / size)
+    w = np.linalg.lstsq(np.vstack([f, weight * np.eye(size)]), np.append(y, np.zeros(size)), rcond=None)[0]
+    bins = np.clip(np.round((f @ w + 0.5) / 2 * C.BINS), 0, C.BINS).astype(int)
+    at = np.unique(bins)
+    ones, n = np.array([y[bins == b].sum() for b in at]), np.array([(bins == b).sum() for b in at])
+    steps = np.array([max(min(ones[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))])
+    place = at / C.BINS * 2 - 0.5
+    middle = np.array([(place * n)[steps == v].sum() / n[steps == v].sum() for v in np.unique(steps)])
+    for d in list(rows)[::7]:
+        assert got[d] == pytest.approx(np.clip(np.interp(features(rows[d]) @ w, middle, np.unique(steps)), 0, 1), abs=2e-3)
