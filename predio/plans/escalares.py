@@ -223,13 +223,14 @@ def plan_sugerido(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admision_reservas(spark: SparkSession, sf_dir: str, activos: int = 10) -> DataFrame:
-    """Requests for holds and why they are refused at an instant: the lot is held, the buyer has one, the project has its number."""
+    """Requests that come after an instant and why they would be refused at it: the lot is held, the buyer has a hold, the
+    project has its number (`apartados_en_orden` judges them one after another). A hold lasts a hundred times the view's hours here."""
     ahora = F.lit(AHORA).cast("timestamp_ntz")
-    r = reservas(spark, sf_dir).select("id", "comprador", (F.col("comprador") % 300).alias("lote"), (F.col("comprador") % 25).alias("proyecto_id"), "creada_en", ((F.col("estado") == "pendiente") & (F.col("vence_en") > F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("creada_en") <= ahora)).alias("activa"))
-    vivas = r.where("activa")
+    vence = F.col("creada_en") + (F.col("vence_en") - F.col("creada_en")) * 100
+    r = reservas(spark, sf_dir).select("id", "comprador", (F.col("comprador") % 300).alias("lote"), (F.col("comprador") % 25).alias("proyecto_id"), "creada_en", "estado", vence.alias("vence"))
+    vivas = r.where((F.col("estado") == "pendiente") & (F.col("creada_en") <= ahora) & (F.col("vence") > ahora))
     por = lambda c, n: vivas.groupBy(c).agg(F.count("*").alias(n))
-    piden = r.where("not activa and id % 5 = 0")
-    j = piden.join(por("lote", "en_lote"), "lote", "left").join(por("comprador", "suyas"), "comprador", "left").join(por("proyecto_id", "en_proyecto"), "proyecto_id", "left")
+    j = r.where(F.col("creada_en") > ahora).join(por("lote", "en_lote"), "lote", "left").join(por("comprador", "suyas"), "comprador", "left").join(por("proyecto_id", "en_proyecto"), "proyecto_id", "left")
     motivo = F.when(F.col("en_lote") > 0, "lote").when(F.col("suyas") > 0, "comprador").when(F.col("en_proyecto") >= activos, "proyecto")
     return j.select("id", motivo.alias("motivo"))
 
@@ -311,9 +312,9 @@ ORACLES = {
     "plan_sugerido": """
   SELECT s_nationkey, count(*) AS usados, CASE WHEN count(*) < 1 THEN 'basico' WHEN count(*) < 3 THEN 'medio' WHEN count(*) < 10 THEN 'grande' END AS plan FROM supplier GROUP BY s_nationkey""",
     "admision_reservas": f"""
-  WITH r AS (SELECT id, comprador, estado = 'pendiente' AND vence_en > TIMESTAMP '1998-01-01' AND creada_en <= {_T} AS activa FROM {RESERVAS_SQL}),
-  v AS (SELECT * FROM r WHERE activa)
+  WITH r AS (SELECT *, creada_en + (vence_en - creada_en) * 100 AS vence FROM {RESERVAS_SQL}),
+  v AS (SELECT * FROM r WHERE estado = 'pendiente' AND creada_en <= {_T} AND vence > {_T})
   SELECT id, CASE WHEN comprador % 300 IN (SELECT comprador % 300 FROM v) THEN 'lote' WHEN comprador IN (SELECT comprador FROM v) THEN 'comprador'
     WHEN comprador % 25 IN (SELECT comprador % 25 FROM v GROUP BY 1 HAVING count(*) >= 10) THEN 'proyecto' END AS motivo
-  FROM r WHERE NOT activa AND id % 5 = 0""",
+  FROM r WHERE creada_en > {_T}""",
 }

@@ -38,33 +38,52 @@ def test_equals_its_sql(spark, duck, name):
     assert got and got == sorted((tuple(plain(r[i]) for i in at) for r in con.fetchall()), key=str)
 
 
-def test_limiter_equals_a_plain_loop(spark):
-    passed: dict = {}
-    want = set()
-    for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").collect():
-        held = passed.setdefault(r.user_id % 5, [])
-        if sum((r.ts - t).total_seconds() < 3600 for t in held) < 5:
-            held.append(r.ts)
-            want.add(r.event_id)
-    assert {r.id for r in catalog.QUERIES["limitador"](spark, SF).collect()} == want
-
-
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_limiter_per_user_equals_a_plain_loop(spark):
-    passed: dict = {}
-    want = set()
-    for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").collect():
-        held = passed.setdefault(r.user_id, [])
-        if sum((r.ts - t).total_seconds() < 3600 for t in held) < 5:
-            held.append(r.ts)
-            want.add(r.event_id)
+def limitados(filas, tope, segundos):
+    """(key, time in seconds, id) that pass, in order of time."""
+    pasados: dict = {}
+    for k, t, i in sorted(filas, key=lambda r: (r[1], r[2])):
+        vivos = [x for x in pasados.get(k, []) if t - x < segundos]
+        if len(vivos) < tope:
+            pasados[k] = [*vivos, t]
+            yield i
+
+
+def test_limiter_equals_a_plain_loop(spark):
+    from predio.plans import actividad
+
+    filas = [(r.user_id, r.ts.timestamp(), r.event_id) for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    want = set(limitados(filas, actividad.TOPE_USUARIO, actividad.HORAS_USUARIO * 3600))
+    assert len(want) < 0.75 * len(filas)
     assert {r.id for r in catalog.QUERIES["limitador_usuario"](spark, SF).collect()} == want
 
 
+@pytest.mark.parametrize("tope, segundos", [(60, 60), (3, 3600), (5, 3600), (1, 86_400)])
+def test_limits_that_refuse(spark, tope, segundos):
+    """Bursts and silences of some keys, one of them with most rows, rows at one instant and exactly a window apart."""
+    import random
+
+    from predio.plans import actividad
+
+    draw = random.Random(tope)
+    filas, t = [], 1_700_000_000.0
+    for k in (None, "a", "a", "a", "a", "b"):
+        for _ in range(4):
+            t += draw.choice([segundos, 3 * segundos, segundos - 1])
+            for _ in range(2 * tope):
+                filas.append((k, t, len(filas)))
+                t += draw.choice([0, segundos / tope / 3, segundos / tope])
+    df = spark.createDataFrame([(k, int(t * 1_000_000), i) for k, t, i in filas], "clave string, us long, id long").repartition(5)
+    want = set(limitados([(k, int(t * 1_000_000) / 1_000_000, i) for k, t, i in filas], tope, segundos))
+    assert {r.id for r in actividad.limitar(df, "clave", tope, segundos * 1_000_000).collect()} == want and len(want) < len(filas)
+    if tope == 1:
+        assert {r.id for r in actividad.admitir_espaciados(df, "clave").collect()} == want
+
+
 def test_labels_of_numbers_from_100_on(spark):
     rows = catalog.QUERIES["huecos_numeracion"](spark, "/root/testdata/sf0.1").collect()
     assert max(r.numero for r in rows) >= 100
