@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from predio.plans import actividad, calces, consola, dibujos, escalares, estadisticas, inventario, medidas, miradas, planillas, planos, publicacion, recortes, visor
+from predio.plans import actividad, calces, consola, dibujos, escalares, estadisticas, inventario, medidas, miradas, planillas, planos, publicacion, recortes, tiempos, visor
 from predio.streaming import apartados, continuas
 
-MODULES = (estadisticas, inventario, actividad, medidas, consola, dibujos, escalares, planillas, visor, planos, miradas, publicacion, dibujos, recortes, calces, continuas, apartados)
+MODULES = (estadisticas, inventario, actividad, medidas, consola, dibujos, escalares, planillas, visor, planos, miradas, publicacion, dibujos, recortes, calces, tiempos, continuas, apartados)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
