@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -184,3 +185,14 @@ def hausdorff(a: Column, b: Column, partes: int = 20) -> Column:
 
     lejos = lambda de, otro: F.array_max(F.transform(densa(de), lambda p: a_borde(p["x"], p["y"], otro)))
     return F.greatest(lejos(a, b), lejos(b, a))
+
+
+def pixel_global(lon: Column, lat: Column, lado: Column) -> Column:
+    """Web-Mercator position (x, y) of a point in a world `lado` pixels wide."""
+    phi = F.radians(lat)
+    return _punto((lon + 180) / 360 * lado, (1 - F.log(F.tan(phi) + 1 / F.cos(phi)) / math.pi) / 2 * lado)
+
+
+def coordenada(x: Column, y: Column, lado: Column) -> Column:
+    """Longitude (x) and latitude (y) of a Web-Mercator position."""
+    return _punto(x / lado * 360 - 180, F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / lado)))))
