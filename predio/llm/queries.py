@@ -75,7 +75,6 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
 
 

@@ -10,8 +10,7 @@ Exponion search: a part starts at the entry that it had before, at squared dista
 entry at more than twice that distance from the starting one (squared: above 4u) can't be
 as near, by the triangle inequality, so only the starting entry's neighbours inside
 that ball are looked at, in the order of their distance from it. A part without a code
-starts at entry 0. Within a batch the parts of one starting entry go through its list
-together.
+starts at entry 0. A batch's parts go through their lists together, the n-th neighbours at once.
 
 A round is one pass over the vectors, which carry their codes, and leaves them written in the
 shared folder; the tasks' sums, at most PARTS * ENTRIES rows each, are added by Spark and the
@@ -64,24 +63,18 @@ def nearest(points: np.ndarray, book: np.ndarray, start: np.ndarray) -> tuple[np
     order, far = neighbours(book)
     best, least = start.astype(np.int64), ((points - book[start]) ** 2).sum(1)
     asked = len(points)
-    by_start = np.argsort(start, kind="stable")
-    bounds = np.searchsorted(start[by_start], np.arange(len(book) + 1))
-    for a in range(len(book)):
-        rows = by_start[bounds[a] : bounds[a + 1]]
-        if not len(rows):
-            continue
-        inside = np.searchsorted(far[a], 4 * least[rows], side="right")  # entries in each point's ball
-        rows = rows[np.argsort(-inside, kind="stable")]
-        counts = np.searchsorted(np.sort(-inside), -np.arange(1, len(book)), side="left")
-        for k in range(1, len(book)):
-            near = rows[: counts[k - 1]]  # those with more than k entries inside
-            if not len(near):
-                break
-            j = order[a, k]
-            d = ((points[near] - book[j]) ** 2).sum(1)
-            asked += len(near)
-            better = (d < least[near]) | ((d == least[near]) & (j < best[near]))
-            best[near[better]], least[near[better]] = j, d[better]
+    inside = (far[start] <= 4 * least[:, None]).sum(1)  # entries in each point's ball
+    rows = np.argsort(-inside, kind="stable")
+    deeper = np.searchsorted(-inside[rows], -np.arange(1, len(book)), side="left")  # points with more than 1, 2, ... inside
+    for k in range(1, len(book)):
+        near = rows[: deeper[k - 1]]
+        if not len(near):
+            break
+        j = order[start[near], k]
+        d = ((points[near] - book[j]) ** 2).sum(1)
+        asked += len(near)
+        better = (d < least[near]) | ((d == least[near]) & (j < best[near]))
+        best[near[better]], least[near[better]] = j[better], d[better]
     return best, least, asked
 
 
