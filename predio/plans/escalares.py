@@ -3,17 +3,14 @@ joins, each over the spread of a whole table."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from predio.functions import espacio, fechas, lectura, montos, texto
 from predio.plans.vistas import PARCELAS_SQL, RESERVAS_SQL, parcelas, reservas
 from predio.session import table
 
 AHORA = "1998-06-01 12:00:00"
-DIAS = ("lunes", "martes", "miércoles", "jueves", "viernes", "sábado", "domingo")
-MESES = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 #: Plans by name and number of projects (fixed values), least first.
 PLANES = (("basico", 1), ("medio", 3), ("grande", 10))
 #: What a candidate may lose against the baseline (fixed values): overlap, metres, pairs.
@@ -21,59 +18,38 @@ TOLERANCIAS = (0.01, 0.25, 0)
 RADIO_M = 6_378_137.0
 
 
-def _de(nombres: tuple[str, ...], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, nombres)), n.cast("int"))
-
-
-def miles(x: Column) -> Column:
-    """A whole number with dots between its thousands."""
-    return F.translate(F.format_number(x, 0), ",", ".")
-
-
 def montos_de_lotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Down payment of a fifth (half to even), rounded price, its text with dots, decimal comma, and the amount of digits alone."""
-    p = parcelas(spark, sf_dir)
-    texto = F.concat(F.lit("$ -"), F.col("id").cast("string"), F.lit(".5,25"))
-    solo = F.regexp_replace(F.regexp_replace(texto, "[^0-9,]", ""), ",", ".")
-    entero = F.floor(F.col("precio") + 0.5)
+    """Down payment as a percentage and as an amount, a surface's quarter for a sheet, the price in words, amounts as written."""
+    p, i = parcelas(spark, sf_dir), F.col("id")
+    escrito = F.when(i % 3 == 0, F.concat((i % 40 + 1).cast("string"), F.lit("%"))).when(i % 3 == 1, F.concat(F.lit("$ "), montos.miles(i * 1000))).otherwise("0")
+    cuarto = F.col("superficie") / 4
     return p.select(
-        "id", F.bround(F.col("superficie") / 4, 0).cast("long").alias("cuarto"), F.bround(F.floor("precio") * 0.2, 0).cast("long").alias("pie"),
-        F.concat(F.lit("$"), miles(entero)).alias("texto"), F.replace((F.col("superficie") / 4).cast("string"), F.lit("."), F.lit(",")).alias("coma"),
-        solo.cast("double").alias("digitos"),
+        "id", montos.entero(F.replace(cuarto.cast("string"), F.lit("."), F.lit(","))).alias("cuarto"), montos.pie(escrito, F.floor("precio").cast("double")).cast("long").alias("pie"),
+        montos.precio_escrito(F.col("precio"), F.col("moneda")).alias("texto"), montos.para_planilla(cuarto).alias("coma"),
+        texto.monto(F.concat(F.lit("$ "), i.cast("string"), F.lit(",25"))).alias("digitos"),
     )
 
 
 def areas_escritas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Square metres of a surface: in hectares if the unit or a value under 100 says so."""
+    """Square metres of written surfaces: in hectares if the unit or a value under 100 says so."""
     p = parcelas(spark, sf_dir)
-    unidad = F.when(F.col("id") % 3 == 0, "ha").when(F.col("id") % 3 == 1, "m2")
+    unidad = F.when(F.col("id") % 3 == 0, " hás").when(F.col("id") % 3 == 1, "m2").otherwise("")
     valor = F.col("superficie") * F.when(F.col("id") % 2 == 0, 1.5).otherwise(120.0)
-    en_ha = F.coalesce(unidad == "ha", valor < 100)
-    return p.select("id", unidad.alias("unidad"), valor.alias("valor"), (valor * F.when(en_ha, 10_000.0).otherwise(1.0)).alias("m2"))
+    escrito = F.concat(F.replace(valor.cast("string"), F.lit("."), F.lit(",")), unidad)
+    return p.select("id", escrito.alias("escrito"), lectura.area_m2(escrito).alias("m2"))
 
 
 def plazos_de_reservas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each hold at an instant: share of its time left (0 to 1), minutes left, and how long ago it was made, in words."""
     ahora = F.lit(AHORA).cast("timestamp_ntz")
-    seg = lambda a, b: F.timestamp_diff("SECOND", F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
-    resta = F.greatest(F.lit(0.0), F.least(F.lit(1.0), seg(ahora, "vence_en") / F.nullif(seg("creada_en", "vence_en"), F.lit(0))))
-    minutos = F.floor(seg("creada_en", ahora) / 60)
-    hace = (
-        F.when(minutos < 1, "recién").when(minutos < 60, F.format_string("hace %d min", minutos)).when(minutos < 1440, F.format_string("hace %d h", F.floor(minutos / 60)))
-        .otherwise(F.format_string("hace %d días", F.floor(minutos / 1440)))
-    )
-    return reservas(spark, sf_dir).select("id", F.round(resta, 6).alias("queda"), F.greatest(F.lit(0), F.floor(seg(ahora, "vence_en") / 60)).alias("minutos"), hace.alias("hace"))
+    a, b = F.col("creada_en"), F.col("vence_en")
+    return reservas(spark, sf_dir).select("id", F.round(fechas.parte_restante(a, b, ahora), 6).alias("queda"), fechas.minutos_restantes(b, ahora).alias("minutos"), fechas.hace(a, ahora).alias("hace"))
 
 
 def fechas_legibles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day of a hold as a date in words, as today, yesterday or weekday, and seconds as hours, minutes and seconds."""
     dia = F.to_date("creada_en")
-    hoy = F.lit(AHORA[:10]).cast("date")
-    n = F.datediff(hoy, dia)
-    nombre = F.when(n == 0, "Hoy").when(n == 1, "Ayer").otherwise(_de(DIAS, F.weekday(dia) + 1))
-    s = F.col("id") % 100_000
-    tiempo = F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
-    return reservas(spark, sf_dir).select("id", F.concat(F.dayofmonth(dia).cast("string"), F.lit(" de "), _de(MESES, F.month(dia)), F.lit(" de "), F.year(dia).cast("string")).alias("fecha"), nombre.alias("nombre"), tiempo.alias("tiempo"))
+    return reservas(spark, sf_dir).select("id", fechas.fecha_legible(dia).alias("fecha"), fechas.nombre_del_dia(dia, F.lit(AHORA[:10]).cast("date")).alias("nombre"), fechas.duracion(F.col("id") % 100_000).alias("tiempo"))
 
 
 def rotulos_de_lotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +62,7 @@ def rotulos_de_lotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         escapado = F.replace(escapado, F.lit(c), F.lit(e))
     lote = F.concat(F.element_at(F.array(F.lit("A"), F.lit("B-"), F.lit("")), (i % 3 + 1).cast("int")), i.cast("string"))
     return parcelas(spark, sf_dir).select(
-        "id", _de(("I", "II", "III"), F.col("etapa") + 1).alias("etapa"), escapado.alias("escapado"),
+        "id", fechas.de_lista(("I", "II", "III"), F.col("etapa") + 1).alias("etapa"), escapado.alias("escapado"),
         F.when(marca.rlike("^(E-[0-9]{6}|N-[0-9]{7})$"), marca).alias("marca"),
         F.regexp_extract(lote, "^([A-Z]*)-?([0-9]+)$", 1).alias("prefijo"), F.regexp_extract(lote, "^([A-Z]*)-?([0-9]+)$", 2).cast("long").alias("numero"),
     )
@@ -94,12 +70,10 @@ def rotulos_de_lotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixeles_de_puntos(spark: SparkSession, sf_dir: str, zoom: int = 15) -> DataFrame:
     """Web-Mercator pixels of points, and the coordinates got back from them."""
-    lado = 256.0 * 2**zoom
-    lon, lat = F.col("c_custkey") % 340 - 170.5, F.col("c_custkey") % 120 - 60.25
-    x = (lon + 180) / 360 * lado
-    y = (1 - F.log(F.tan(F.radians(lat)) + 1 / F.cos(F.radians(lat))) / math.pi) / 2 * lado
-    vuelta = F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / lado))))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(x / lado * 360 - 180, 6).alias("lon"), F.round(vuelta, 6).alias("lat"))
+    lado = F.lit(256.0 * 2**zoom)
+    p = espacio.pixel_global(F.col("c_custkey") % 340 - 170.5, F.col("c_custkey") % 120 - 60.25, lado)
+    d = table(spark, sf_dir, "customer").select("c_custkey", p.alias("p")).select("c_custkey", "p", espacio.coordenada(F.col("p.x"), F.col("p.y"), lado).alias("c"))
+    return d.select("c_custkey", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"), F.round("c.x", 6).alias("lon"), F.round("c.y", 6).alias("lat"))
 
 
 def husos_de_puntos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +82,7 @@ def husos_de_puntos(spark: SparkSession, sf_dir: str) -> DataFrame:
     huso = F.floor((lon + 180) / 6).cast("int") + 1
     a, b = F.col("c_custkey") % 360, (F.col("c_custkey") * 7) % 360
     giro = F.pmod(b - a + 540, F.lit(360)) - 180
-    rumbo = _de(("N", "NE", "E", "SE", "S", "SO", "O", "NO"), F.floor((a + 22.5) / 45) % 8 + 1)
+    rumbo = fechas.de_lista(("N", "NE", "E", "SE", "S", "SO", "O", "NO"), F.floor((a + 22.5) / 45) % 8 + 1)
     return table(spark, sf_dir, "customer").select("c_custkey", huso.alias("huso"), (F.when(lat < 0, 32700).otherwise(32600) + huso).alias("epsg"), rumbo.alias("rumbo"), giro.alias("giro"))
 
 
@@ -246,20 +220,22 @@ _SEG = "date_diff('second', {}, {})"
 _T = f"TIMESTAMP '{AHORA}'"
 ORACLES = {
     "montos_de_lotes": f"""
-  SELECT id, CAST(round_even(superficie / 4.0, 0) AS BIGINT) AS cuarto, CAST(round_even(floor(precio) * CAST(0.2 AS DOUBLE), 0) AS BIGINT) AS pie,
-         '$' || replace(format('{{:,}}', CAST(floor(precio + 0.5) AS BIGINT)), ',', '.') AS texto,
-         replace(CAST(CAST(superficie AS DOUBLE) / 4 AS VARCHAR), '.', ',') AS coma, CAST(id || '5.25' AS DOUBLE) AS digitos FROM {PARCELAS_SQL}""",
+  SELECT id, CAST(round_even(superficie / 4.0, 0) AS BIGINT) AS cuarto,
+         CAST(CASE id % 3 WHEN 0 THEN round_even(floor(precio) * CAST(id % 40 + 1 AS DOUBLE) / 100, 0) WHEN 1 THEN id * 1000 END AS BIGINT) AS pie,
+         CASE WHEN moneda = 'UF' THEN 'UF ' || replace(format('{{:,}}', CAST(floor(precio) AS BIGINT)), ',', '.') || CASE WHEN precio = floor(precio) THEN '' ELSE ',' || rtrim(split_part(printf('%.3f', precio), '.', 2), '0') END
+              ELSE '$' || replace(format('{{:,}}', CAST(floor(precio + 0.5) AS BIGINT)), ',', '.') END AS texto,
+         CASE WHEN superficie % 4 = 0 THEN CAST(superficie // 4 AS VARCHAR) ELSE replace(CAST(CAST(superficie AS DOUBLE) / 4 AS VARCHAR), '.', ',') END AS coma, id + 0.25::DOUBLE AS digitos FROM {PARCELAS_SQL}""",
     "areas_escritas": f"""
-  SELECT id, unidad, valor, valor * CASE WHEN unidad = 'ha' OR (unidad IS NULL AND valor < 100) THEN 10000.0 ELSE 1.0 END AS m2 FROM (
-    SELECT id, CASE id % 3 WHEN 0 THEN 'ha' WHEN 1 THEN 'm2' END AS unidad, superficie * CASE id % 2 WHEN 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(120.0 AS DOUBLE) END AS valor FROM {PARCELAS_SQL})""",
+  SELECT id, replace(CAST(valor AS VARCHAR), '.', ',') || CASE id % 3 WHEN 0 THEN ' hás' WHEN 1 THEN 'm2' ELSE '' END AS escrito, valor * CASE WHEN id % 3 = 0 OR (id % 3 = 2 AND valor < 100) THEN 10000.0::DOUBLE ELSE 1.0::DOUBLE END AS m2 FROM (
+    SELECT id, superficie * CASE id % 2 WHEN 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(120.0 AS DOUBLE) END AS valor FROM {PARCELAS_SQL})""",
     "plazos_de_reservas": f"""
   SELECT id, round(greatest(0.0, least(1.0, {_SEG.format(_T, "vence_en")} / nullif({_SEG.format("creada_en", "vence_en")}, 0))), 6) AS queda,
          greatest(0, CAST(floor({_SEG.format(_T, "vence_en")} / 60) AS BIGINT)) AS minutos,
          CASE WHEN m < 1 THEN 'recién' WHEN m < 60 THEN 'hace ' || m || ' min' WHEN m < 1440 THEN 'hace ' || (m // 60) || ' h' ELSE 'hace ' || (m // 1440) || ' días' END AS hace
   FROM (SELECT *, CAST(floor({_SEG.format("creada_en", _T)} / 60) AS BIGINT) AS m FROM {RESERVAS_SQL})""",
     "fechas_legibles": f"""
-  SELECT id, day(d) || ' de ' || {_LISTA(MESES)}[month(d)] || ' de ' || year(d) AS fecha,
-         CASE DATE '{AHORA[:10]}' - d WHEN 0 THEN 'Hoy' WHEN 1 THEN 'Ayer' ELSE {_LISTA(DIAS)}[isodow(d)] END AS nombre,
+  SELECT id, day(d) || ' de ' || {_LISTA(fechas.MESES)}[month(d)] || ' de ' || year(d) AS fecha,
+         CASE DATE '{AHORA[:10]}' - d WHEN 0 THEN 'Hoy' WHEN 1 THEN 'Ayer' ELSE {_LISTA(fechas.DIAS)}[isodow(d)] END AS nombre,
          ((id % 100000) // 3600) || ':' || lpad(CAST((id % 100000) // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(id % 100000 % 60 AS VARCHAR), 2, '0') AS tiempo
   FROM (SELECT id, CAST(creada_en AS DATE) AS d FROM {RESERVAS_SQL})""",
     "rotulos_de_lotes": f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from predio.functions.fechas import ZONA, dia_local
 from predio.plans.vistas import PARCELAS_SQL, parcelas
 from predio.session import table
 
@@ -12,17 +13,12 @@ from predio.session import table
 EVENTOS = {"view": "visita", "click": "ficha", "signup": "whatsapp", "purchase": "reservar"}
 
 
-#: Days are those of this zone (fixed value), and a batch of more events is refused whole.
-ZONA, LOTE_MAX = "America/Santiago", 30
+#: A batch of more events is refused whole (fixed value).
+LOTE_MAX = 30
 #: Days to a batch of the test table's events: what one user sends in them comes at once.
 DIAS_ENVIO = 10
 
 
-def dia_local(ts: Column) -> Column:
-    """Day in ZONA of a time without zone, which is in UTC."""
-    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(ZONA), ts))
-
-
 def envio() -> Column:
     return F.floor(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) / DIAS_ENVIO).cast("long").alias("envio")
 
