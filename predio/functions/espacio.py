@@ -125,15 +125,31 @@ def _abanico(anillo: Column) -> Column:
     return F.when(hay, F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(anillo) - 2, F.lit(1))), triangulo), lambda t: t["s"] != 0)).otherwise(F.array().cast("array<struct<t:array<struct<x:double,y:double>>,s:double>>"))
 
 
+def es_convexo(anillo: Column) -> Column:
+    """Whether a simple ring with an area turns one way only."""
+    n = F.size(anillo)
+
+    def giro(p: Column, i: Column) -> Column:
+        q, r = F.get(anillo, (i + 1) % n), F.get(anillo, (i + 2) % n)
+        return (q["x"] - p["x"]) * (r["y"] - q["y"]) - (q["y"] - p["y"]) * (r["x"] - q["x"])
+
+    giros = lambda g: F.forall(g, lambda v: v >= 0) | F.forall(g, lambda v: v <= 0)
+    return F.when((n >= 3) & (_signada(anillo) != 0), _con(F.transform(anillo, giro), giros)).otherwise(False)
+
+
 def traslape(a: Column, b: Column) -> Column:
-    """Area that two simple rings share, convex or not: the signed sum over their triangles."""
+    """Area that two simple rings share: one clipped by the other if that is convex, else the signed sum over
+    the triangles of both."""
 
     def con(ta: Column, tb: Column) -> Column:
         planos = F.transform(tb, lambda t: F.struct(lados_convexos(t["t"]).alias("h"), t["s"].alias("s")))
         par = lambda t, planos: F.aggregate(planos, F.lit(0.0), lambda suma, h: suma + t["s"] * h["s"] * _con(recortar(t["t"], h["h"]), area))
         return _con(planos, lambda h: F.aggregate(ta, F.lit(0.0), lambda suma, t: suma + par(t, h)))
 
-    return F.abs(_con(F.struct(_abanico(a).alias("a"), _abanico(b).alias("b")), lambda x: con(x["a"], x["b"])))
+    de = lambda x, y: _con(recortar(x, lados_convexos(y)), area)
+    triangulos = F.abs(_con(F.struct(_abanico(a).alias("a"), _abanico(b).alias("b")), lambda x: con(x["a"], x["b"])))
+    hay = (F.size(a) >= 3) & (F.size(b) >= 3)
+    return F.when(hay & es_convexo(b), de(a, b)).when(hay & es_convexo(a), de(b, a)).when(hay, triangulos).otherwise(0.0)
 
 
 def iou(a: Column, b: Column) -> Column:
