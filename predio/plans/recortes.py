@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from predio.functions import espacio
 from predio.plans.medidas import _lotes_geo
+from predio.session import dealt
 
 #: Side of a grid cell in metres: pairs of outlines are sought within cells.
 CELDA = 50.0
+#: Parts of a cell's outlines that meet the cell in different tasks.
+PARTES = 16
 #: Where a candidate lies against the truth in the test table: metres east and north.
 CORRIDO = (3.0, -2.0)
 
@@ -23,13 +26,17 @@ def pares(lotes: DataFrame, grupo: str, id: str, celda: float = CELDA) -> DataFr
     """Pairs (a before b) of outlines of one group whose bounds meet: grupo, a, b, anillo_a, anillo_b.
 
     Outlines are listed under every cell that their bounds touch and a pair counts in one of them,
-    that of the lower left corner of what their bounds share.
+    that of the lower left corner of what their bounds share. A cell's outlines are dealt over PARTES tasks, each of
+    which has all of the cell's others, so that a crowded cell isn't one task.
     """
     c = lotes.select(F.col(grupo), F.col(id).alias("id"), "anillo").withColumns(_caja(F.col("anillo")))
     en = lambda v: F.floor(v / celda).cast("long")
     por = c.withColumn("cx", F.explode(F.sequence(en(F.col("x0")), en(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(en(F.col("y0")), en(F.col("y1")))))
-    lado = lambda s: por.select(grupo, "cx", "cy", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "anillo", "x0", "x1", "y0", "y1")])
-    j = lado("a").join(lado("b"), [grupo, "cx", "cy"]).where("id_a < id_b and x0_a <= x1_b and x0_b <= x1_a and y0_a <= y1_b and y0_b <= y1_a")
+    lado = lambda s, parte: por.select(grupo, "cx", "cy", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "anillo", "x0", "x1", "y0", "y1")], parte.alias("parte"))
+    clave = [grupo, "cx", "cy", "parte"]
+    a = dealt(lado("a", F.pmod(F.xxhash64("id"), F.lit(PARTES)).cast("int")), *clave)
+    b = dealt(lado("b", F.explode(F.sequence(F.lit(0), F.lit(PARTES - 1)))), *clave)
+    j = a.join(b.hint("merge"), clave).where("id_a < id_b and x0_a <= x1_b and x0_b <= x1_a and y0_a <= y1_b and y0_b <= y1_a")
     suya = (en(F.greatest("x0_a", "x0_b")) == F.col("cx")) & (en(F.greatest("y0_a", "y0_b")) == F.col("cy"))
     return j.where(suya).select(grupo, F.col("id_a").alias("a"), F.col("id_b").alias("b"), "anillo_a", "anillo_b")
 

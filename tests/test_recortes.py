@@ -126,3 +126,10 @@ def test_overlaps_of_the_table(spark):
     want = {k: v for k, v in want.items() if v > 1e-4}
     got = {(r.label, r.a, r.b): r.m2 for r in recortes.solapes_de_lotes(spark, sf).where("label < 2 and m2 > 1e-4").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-4) for k in want) and want
+
+
+def test_a_crowded_cell_is_not_one_task(spark):
+    anillo = F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 9D, 'y', 0D), named_struct('x', 9D, 'y', 9D), named_struct('x', 0D, 'y', 9D))")
+    p = recortes.pares(spark.range(0, 100, 1, 1).select("id", (F.col("id") % 1).alias("g"), anillo.alias("anillo")), "g", "id")
+    por_tarea = [r["count"] for r in p.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(por_tarea) == 4950 and max(por_tarea) < 2500
