@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from predio.plans.planos import _DENTRO, _LOTES, _ROTULOS, _lotes, _rotulos, cercanos, dentro
-from predio.session import table
+from predio.session import dealt, table
 
 #: Farthest metres, least width in degrees, least area in square degrees, least degrees below the horizon,
 #: most that one lot adds to a view's merit, most lots of a run and metres between its neighbours, decimetres from a
@@ -30,7 +30,7 @@ def lotes_visibles(spark: SparkSession, sf_dir: str) -> DataFrame:
     alto, cx, cy = F.col("alto"), F.col("cx"), F.col("cy")
     esquinas = [(F.col("x") + i * F.col("w") - F.col("px"), F.col("y") + j * F.col("h") - F.col("py")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
     norma = lambda x, y: F.sqrt(x * x + y * y + alto * alto)
-    par = cercanos(_lotes(spark, sf_dir), _vistas(spark, sf_dir), LEJOS_M).select("vista", "lote", "x", "y", "w", "h", "px", "py", "alto").withColumns({"cx": F.col("x") - F.col("px"), "cy": F.col("y") - F.col("py")})
+    par = cercanos(dealt(_lotes(spark, sf_dir), "lote"), _vistas(spark, sf_dir), LEJOS_M).select("vista", "lote", "x", "y", "w", "h", "px", "py", "alto").withColumns({"cx": F.col("x") - F.col("px"), "cy": F.col("y") - F.col("py")})
     par = par.withColumn("lejos", norma(cx, cy)).withColumns({"metros": F.round("lejos", 1), "elevacion": F.round(F.degrees(F.asin(-alto / F.col("lejos"))), 3)})
     par = par.where((F.col("metros") <= LEJOS_M) & (F.col("elevacion") <= -BAJO_MIN))
     for n, (x, y) in enumerate(esquinas):
