@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from predio.functions.espacio import _con
+
 #: The forms of a row's lot, of a cell with its unit, and of a surface.
 LOTE_FILA = r"^\D*?(\d{1,3}(?:-\d{1,3})?)(?![\d.,])"
 CELDA = r"(?iuU)(\d+(?:[.,]\d+)*)(\s?(?:m2|m²|mts?2|h[aá]s?\b|hect\w*))?"
@@ -92,7 +94,7 @@ def _normal(x: Column) -> Column:
     for de, a in (("[º˚]", "°"), ("[′’‘´`]", "'"), ("[″”“]", '"'), ("''", '"'), (r"(\d),(\d+)(?=\s*[°'\"])", "$1.$2")):
         t = F.regexp_replace(t, de, a)
     par = r"^([+-]?\d+),(\d+)(?:\s*;\s*|\s+)([+-]?\d+),(\d+)$"
-    return F.when(~t.contains(".") & t.rlike(par), F.regexp_replace(t, par, "$1.$2 $3.$4")).otherwise(t)
+    return _con(t, lambda t: F.when(~t.contains(".") & t.rlike(par), F.regexp_replace(t, par, "$1.$2 $3.$4")).otherwise(t))
 
 
 def _partes(piezas: Column) -> Column:
@@ -153,7 +155,9 @@ def coordenadas(x: Column) -> Column:
         lat, lon = F.when(vuelta | sin, b["valor"]).otherwise(a["valor"]), F.when(vuelta | sin, a["valor"]).otherwise(b["valor"])
         return F.when(a.isNotNull() & b.isNotNull() & ~igual & (F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.struct(lat.alias("lat"), lon.alias("lon")))
 
-    piezas = F.transform(F.regexp_extract_all(_normal(x), F.lit(_PIEZA), 0), lambda p: F.trim(p))
-    limpias = F.forall(piezas, lambda p: p.rlike(r"^([+-]?\d+(\.\d+)?\s*[°'\"]?|[NSEWO,;])$"))
-    leidas = F.transform(_partes(piezas), _grados)
-    return F.when(limpias, F.get(F.transform(F.array(leidas), lambda cs: F.when(F.size(cs) == 2, juzgar(cs))), F.lit(0)))
+    def leer(piezas: Column) -> Column:
+        limpias = F.forall(piezas, lambda p: p.rlike(r"^([+-]?\d+(\.\d+)?\s*[°'\"]?|[NSEWO,;])$"))
+        return F.when(limpias, _con(F.transform(_partes(piezas), _grados), lambda cs: F.when(F.size(cs) == 2, juzgar(cs))))
+
+    # a text is taken apart once: what stands in several places of an expression would be computed in each
+    return _con(F.transform(F.regexp_extract_all(_normal(x), F.lit(_PIEZA), 0), lambda p: F.trim(p)), leer)

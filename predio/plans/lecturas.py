@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from predio.functions import lectura
-from predio.session import table
+from predio.session import dealt, table
 
 
 def filas_en_documentos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def coordenadas_escritas(spark: SparkSession, sf_dir: str) -> DataFrame:
     dec = F.concat(F.format_string("%.4f", -(g + m / 100.0)), F.lit(", "), F.format_string("%.4f", -(k % 179 + 0.25)))
     formas = F.array(F.concat(dms, F.lit("S "), otra, F.lit("W")), F.concat(F.lit("O "), otra, F.lit(", S "), dms), dec, F.replace(F.replace(dec, F.lit(", "), F.lit("; ")), F.lit("."), F.lit(",")), F.concat(dms, F.lit(" S")), F.concat(F.lit("a "), dec))
     c = lectura.coordenadas(F.element_at(formas, (k % 6 + 1).cast("int")))
-    return table(spark, sf_dir, "customer").select("c_custkey", c.alias("c")).select("c_custkey", F.round("c.lat", 7).alias("lat"), F.round("c.lon", 7).alias("lon"))
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", c.alias("c")).select("c_custkey", F.round("c.lat", 7).alias("lat"), F.round("c.lon", 7).alias("lon"))
 
 
 QUERIES = {f.__name__: f for f in (filas_en_documentos, coordenadas_escritas)}

@@ -45,3 +45,10 @@ def test_coordinates(spark):
     for (t, want), g in zip(casos.items(), got):
         assert (g is None) == (want is None) and (g is None or tuple(g) == pytest.approx(want, abs=1e-9)), (t, g)
     assert math.isfinite(got[0].lat)
+
+
+def test_small_files_are_read_by_several_tasks(spark):
+    from predio.plans import catalog
+
+    for name in ("coordenadas_escritas", "lotes_visibles"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").select(F.spark_partition_id()).distinct().count() > 1
