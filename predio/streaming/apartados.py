@@ -174,8 +174,7 @@ class Guardia(StatefulProcessor):
         return Row(trabajo=key[0], estado="fallo", codigo=-1, cuando=ultimo + self.limite[estado])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        ahora = self.estado.get() if self.estado.exists() else None
-        ahora = tuple(ahora) if ahora else None
+        habia = ahora = tuple(self.estado.get() or ()) or None
         for r in sorted(rows, key=lambda r: (r.us, r.orden)):
             if ahora and r.us - ahora[1] > self.limite[ahora[0]]:
                 yield self._perdido(key, *ahora)
@@ -191,11 +190,14 @@ class Guardia(StatefulProcessor):
                 ahora = ("corriendo", r.us)
             elif r.que == "latido" and ahora[0] == "corriendo":
                 ahora = ("corriendo", max(r.us, ahora[1]))
-        self._guardar(ahora)
-
-    def _guardar(self, ahora: tuple | None) -> None:
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
+        if ahora != habia:
+            self._guardar(habia, ahora)
+
+    def _guardar(self, habia: tuple | None, ahora: tuple | None) -> None:
+        """Each call to the store costs more than a job's rows: a job without state has no timer and nothing to clear."""
+        if habia is not None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
         if ahora is None:
             self.estado.clear()
         else:
@@ -203,8 +205,8 @@ class Guardia(StatefulProcessor):
             self.handle.registerTimer(_ms(ahora[1] + self.limite[ahora[0]]) + 1)  # lost when the limit is over, not when it is reached
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.estado.exists():
-            yield self._perdido(key, *self.estado.get())
+        if ahora := self.estado.get():
+            yield self._perdido(key, *ahora)
             self.estado.clear()
 
     def close(self) -> None:

@@ -147,3 +147,25 @@ def test_jobs_equal_a_plain_loop(spark, tmp_path, cortes):
                 want.add((trabajo, "fallo", -1, ultimo + limite))
     assert set(map(tuple, got)) == want and len(got) == len(want)
     assert {r.estado for r in got} == {"terminado", "fallo"}
+
+
+def test_a_job_that_ends_at_once_costs_one_call():
+    from datetime import timedelta
+
+    from pyspark.sql import Row
+
+    from predio.streaming.apartados import Guardia
+
+    class Falso:
+        def __init__(self):
+            self.llamadas = []
+
+        def __getattr__(self, nombre):
+            return lambda *a: self.llamadas.append(nombre)
+
+    falso = Falso()
+    g = Guardia(timedelta(minutes=10), timedelta(minutes=3))
+    g.handle = g.estado = falso
+    filas = [Row(us=n, orden=n, que=q, codigo=0) for n, q in enumerate(("encolar", "tomar", "cerrar"))]
+    assert [r.estado for r in g.handleInputRows((7,), iter(filas), None)] == ["terminado"]
+    assert falso.llamadas == ["get"]
