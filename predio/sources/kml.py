@@ -41,7 +41,8 @@ ESTILO = "_id string, LineStyle struct<color:string>, PolyStyle struct<color:str
 
 
 def archivos(spark: SparkSession, ruta: str) -> DataFrame:
-    """archivo, kml, motivo (why there is no KML): one row per file."""
+    """archivo, kml, motivo (why there is no KML): one row per file. Only archives and text that isn't UTF-8 go to Python, where
+    a file stands in memory several times."""
 
     def abrir(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,7 +62,9 @@ def archivos(spark: SparkSession, ruta: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([nombre.as_py()]), pa.array([kml], pa.string()), pa.array([motivo], pa.string())], ["archivo", "kml", "motivo"])
 
     leidos = spark.read.format("binaryFile").load(ruta).select("path", "content")
-    return leidos.mapInArrow(abrir, "archivo string, kml string, motivo string")
+    llano = (F.hex(F.substring("content", 1, 2)) != "504B") & F.is_valid_utf8(F.col("content").cast("string"))
+    llanos = leidos.where(llano).select(F.col("path").alias("archivo"), F.col("content").cast("string").alias("kml"), F.lit(None).cast("string").alias("motivo"))
+    return llanos.unionByName(leidos.where(~llano).mapInArrow(abrir, "archivo string, kml string, motivo string"))
 
 
 def _elementos(kml: Column, nombre: str) -> Column:

@@ -124,3 +124,11 @@ def test_written_and_read_again(spark, tmp_path):
     for (n, t, p), r in zip(filas, marcas.collect()):
         f = json.loads(r.j)
         assert f["properties"].get("n") == n and f["geometry"]["coordinates"] == {"A": [[list(x) for x in p + p[:1]]], "L": [list(x) for x in p], "P": list(p[0])}[t]
+
+
+def test_plain_files_do_not_pass_through_python(spark, tmp_path):
+    (tmp_path / "a.kml").write_text("<kml/>")
+    a = kml.archivos(spark, str(tmp_path))
+    plan = a._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "isValid()" in plan
+    assert [tuple(r)[1:] for r in a.collect()] == [("<kml/>", None)]
