@@ -169,3 +169,24 @@ def test_a_job_that_ends_at_once_costs_one_call():
     filas = [Row(us=n, orden=n, que=q, codigo=0) for n, q in enumerate(("encolar", "tomar", "cerrar"))]
     assert [r.estado for r in g.handleInputRows((7,), iter(filas), None)] == ["terminado"]
     assert falso.llamadas == ["get"]
+
+
+def test_a_project_s_rows_are_held_as_numbers():
+    """Memory of a row in order is some tens of bytes, whatever its texts; order, nulls and chunks as of a plain sort."""
+    import random
+    import tracemalloc
+
+    import pandas as pd
+
+    draw = random.Random(7)
+    filas = [(draw.randrange(10**6), draw.randrange(50), draw.choice(["pedir", "confirmar", "liberar"]), draw.choice("ab"), draw.choice([None, "x@correo.cl", "y@correo.cl"]), draw.choice([None, "569"]), draw.randrange(9), draw.random() < 0.5) for _ in range(60_000)]
+    nombres = ["us", "id", "que", "parcela", "email", "telefono", "horas", "disponible"]
+    partes = lambda: (pd.DataFrame(filas[k : k + 7000], columns=nombres) for k in range(0, len(filas), 7000))
+    got = [(us, i, *textos, horas, libre) for i, *textos, us, horas, libre in apartados._en_orden(partes())]
+    assert got == sorted(filas, key=lambda f: f[:3])
+    tracemalloc.start()
+    for n, _ in enumerate(apartados._en_orden(partes())):
+        if n == 30_000:
+            break
+    assert tracemalloc.get_traced_memory()[1] < 200 * len(filas)
+    tracemalloc.stop()
