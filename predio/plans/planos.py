@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from predio.functions import espacio
-from predio.session import shared_folder, table
+from predio.session import dealt, shared_folder, table
 
 #: Metres from a label to a free centroid, from a stage's label to its swatch, of a mutual pair,
 #: of views that count as one place; air between two pills.
@@ -87,8 +87,8 @@ def _celdas(desde: Column, hasta: Column, lado: int = CELDA_M) -> Column:
 
 
 def dentro(lotes: DataFrame, puntos: DataFrame) -> DataFrame:
-    """Points with the outlines of their drawing that contain them."""
-    cajas = lotes.withColumn("cx", _celdas(F.col("x") - F.col("w"), F.col("x") + F.col("w"))).withColumn("cy", _celdas(F.col("y") - F.col("h"), F.col("y") + F.col("h")))
+    """Points with the outlines of their drawing that contain them. Outlines are dealt over tasks before their cells are listed."""
+    cajas = dealt(lotes, "plano", "x", "y").withColumn("cx", _celdas(F.col("x") - F.col("w"), F.col("x") + F.col("w"))).withColumn("cy", _celdas(F.col("y") - F.col("h"), F.col("y") + F.col("h")))
     puntos = puntos.withColumn("cx", F.floor(F.col("px") / CELDA_M)).withColumn("cy", F.floor(F.col("py") / CELDA_M))
     esquina = lambda sx, sy: F.struct((F.col("x") + sx * F.col("w")).alias("x"), (F.col("y") + sy * F.col("h")).cast("double").alias("y"))
     anillo = F.array(esquina(-1, -1), esquina(1, -1), esquina(1, 1), esquina(-1, 1))
@@ -96,10 +96,11 @@ def dentro(lotes: DataFrame, puntos: DataFrame) -> DataFrame:
 
 
 def cercanos(lotes: DataFrame, puntos: DataFrame, radio: int) -> DataFrame:
-    """Points with the centres of their drawing within `radio`, and the squared distance d2; from neighbouring cells alone."""
+    """Points with the centres of their drawing within `radio`, and the squared distance d2; from neighbouring cells alone.
+    A point is listed under nine cells: points are dealt over tasks first, so that a small file isn't one task with all of them."""
     centros = lotes.withColumn("cx", F.floor(F.col("x") / radio)).withColumn("cy", F.floor(F.col("y") / radio))
     alcance = lambda c: _celdas(F.col(c) - radio, F.col(c) + radio, radio)
-    puntos = puntos.withColumn("cx", alcance("px")).withColumn("cy", alcance("py"))
+    puntos = dealt(puntos, "plano", "px", "py").withColumn("cx", alcance("px")).withColumn("cy", alcance("py"))
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
     return puntos.join(centros, ["plano", "cx", "cy"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radio * radio).drop("cx", "cy")
 
@@ -157,7 +158,7 @@ def chocan(pildoras: DataFrame, aire_x: int, aire_y: int) -> DataFrame:
     cel = lambda v: F.floor(v / CELDA_M)
     borde = {c: (F.col(c) - F.col(m) / 2 - F.lit(a) / 2, F.col(c) + F.col(m) / 2 + F.lit(a) / 2) for c, m, a in (("x", "ancho", aire_x), ("y", "alto", aire_y))}
     todo = F.struct(*pildoras.columns, cel(borde["x"][0]).alias("x0"), cel(borde["y"][0]).alias("y0"))
-    p = pildoras.select("plano", todo.alias("p"), F.explode(F.sequence(*map(cel, borde["x"]))).alias("cx"), F.sequence(*map(cel, borde["y"])).alias("cys"))
+    p = dealt(pildoras, "plano", "x", "y").select("plano", todo.alias("p"), F.explode(F.sequence(*map(cel, borde["x"]))).alias("cx"), F.sequence(*map(cel, borde["y"])).alias("cys"))
     p = p.select("plano", "p", "cx", F.explode("cys").alias("cy"))
     junto = p.join(p.withColumnRenamed("p", "q"), ["plano", "cx", "cy"]).where(F.col("p.id") < F.col("q.id"))
     toca = [F.abs(F.col(f"p.{c}") - F.col(f"q.{c}")) < (F.col(f"p.{m}") + F.col(f"q.{m}")) / 2 + a for c, m, a in (("x", "ancho", aire_x), ("y", "alto", aire_y))]

@@ -101,3 +101,11 @@ def test_flights_by_height(spark):
     got = [(r.plano, r.desde, r.hasta, r.n, r.media) for r in miradas.vuelos(spark, SF01).collect()]
     assert [g[:4] for g in sorted(got)] == [w[:4] for w in sorted(want)] and all(abs(g[4] - w[4]) < 1e-3 for g, w in zip(sorted(got), sorted(want)))
     assert len(want) > 2 * len(alturas)
+
+
+def test_rows_are_dealt_before_their_cells_are_listed(spark):
+    lotes, rotulos = planos._lotes(spark, SF), planos._rotulos(spark, SF)
+    for df in (planos.dentro(lotes, rotulos), planos.cercanos(lotes, rotulos, 90), planos.chocan(planos._pildoras(spark, SF), 2, 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        listadas = plan[: plan.rindex("REPARTITION_BY_NUM")]
+        assert "Generate explode" in listadas  # above the deal, not below it in the file's one task
