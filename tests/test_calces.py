@@ -127,3 +127,10 @@ def test_anchors_equal_refitting(spark):
             assert abs((r.giro - giro * 57.29577951308232 + 180) % 360 - 180) < 1e-6
     assert {"inconsistente", "atipicas", "ok", "sin control"} <= {r.control for r in got.values()}
     assert sum(r.atipica for r in got.values()) > 10 and got[100, 0].control is None and got[101, 1].control is None and (102, 0) not in got
+
+
+def test_a_plan_s_sums_cost_one_shuffle(spark):
+    p = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 0.0)], "plano int, punto int, x double, y double, u double, v double")
+    plan = calces.sin_cada_una(p)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert calces.sin_cada_una(p).select("n", "rms", "loo", "sin_ar", "sin_br").first()[:] == (1, None, None, None, None)
