@@ -23,6 +23,8 @@ from predio.session import shared_folder, table
 CLAVE = ["proyecto_id", "dia", "parcela", "tipo"]
 #: Bytes of files that a micro-batch takes; what one key has of them is sorted in one task.
 POR_LOTE = 1 << 30
+#: Groups that share the leads' state.
+PARTES = 1024
 
 
 def eventos(spark: SparkSession, sf_dir: str, por_lote: int = POR_LOTE) -> DataFrame:
@@ -53,33 +55,41 @@ def admitir(llegan: DataFrame) -> DataFrame:
 
     Rows id and cambio: 1 when a lead is kept, -1 when it is taken back because an older one
     arrived later; the sum over an id says whether it is kept, in whatever order files come.
-    State per key: times, ids and kept or not of all its leads (17 bytes each), since one of
-    any age may still arrive. A late lead's key is judged again from that lead on.
+    State: times, ids, whose they are and kept or not of all leads (21 bytes each), since one of any age may still
+    arrive. Keys share PARTES groups by their hash, as a group costs some milliseconds whatever it holds. The leads of
+    the keys that a micro-batch names are judged again.
     """
 
     def decidir(clave: tuple, partes: Iterator[pd.DataFrame], estado: GroupState) -> Iterator[pd.DataFrame]:
         filas = pd.concat(list(partes))
+        de, llaves = pd.factorize(filas["llave"])
         us, ids, antes = filas["us"].to_numpy(np.int64), filas["id"].to_numpy(np.int64), np.zeros(len(filas), np.int8)
+        nombres: dict[str, int] = {}
         if estado.exists:
-            us, ids, antes = (np.concatenate([np.frombuffer(bytes(x), y.dtype), y]) for x, y in zip(estado.get, (us, ids, antes)))
-        nueva = np.arange(len(us)) >= len(us) - len(filas)
-        orden = np.lexsort((ids, us))
-        us, ids, antes, nueva = us[orden], ids[orden], antes[orden], nueva[orden]
-        desde = int(nueva.argmax())
+            *columnas, conocidas = estado.get
+            nombres = {x: i for i, x in enumerate(conocidas)}
+        cual = np.array([nombres.setdefault(x, len(nombres)) for x in llaves], np.int32)
+        nombrada, quien = np.zeros(len(nombres), np.bool_), cual[de]
+        nombrada[cual] = True
+        if estado.exists:
+            us, ids, antes, quien = (np.concatenate([np.frombuffer(bytes(x), y.dtype), y]) for x, y in zip(columnas, (us, ids, antes, quien)))
+        orden = np.lexsort((ids, us, quien))
+        us, ids, antes, quien = us[orden], ids[orden], antes[orden], quien[orden]
         ahora = antes.copy()
-        ahora[desde:] = 0
-        quedan = np.flatnonzero(antes[:desde])
-        ultimo = us[quedan[-1]] if len(quedan) else None
-        for i in range(desde, len(us)):
-            if ultimo is None or us[i] - ultimo >= actividad.ESPERA_US:
-                ultimo = us[i]
-                ahora[i] = 1
-        estado.update((us.tobytes(), ids.tobytes(), ahora.tobytes()))
+        otra, ultimo, toca = -1, 0, np.flatnonzero(nombrada[quien])
+        for i, cuando, q in zip(toca.tolist(), us[toca].tolist(), quien[toca].tolist()):
+            ahora[i] = q != otra or cuando - ultimo >= actividad.ESPERA_US
+            if ahora[i]:
+                otra, ultimo = q, cuando
+        estado.update((us.tobytes(), ids.tobytes(), ahora.tobytes(), quien.tobytes(), list(nombres)))
         cambia = np.flatnonzero(ahora != antes)
         yield pd.DataFrame({"id": ids[cambia], "cambio": (ahora - antes)[cambia].astype("int32")})
 
-    filas = llegan.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
-    return filas.groupBy("user_id", "event_type").applyInPandasWithState(decidir, "id long, cambio int", "us binary, ids binary, pasan binary", "append", GroupStateTimeout.NoTimeout)
+    # a null user or type is one of its own, and no user's number holds a colon
+    llave = F.concat(F.coalesce(F.col("user_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("="), "event_type"), F.lit("")))
+    filas = llegan.select(llave.alias("llave"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
+    filas = filas.withColumn("parte", F.pmod(F.xxhash64("llave"), F.lit(PARTES)))
+    return filas.groupBy("parte").applyInPandasWithState(decidir, "id long, cambio int", "us binary, ids binary, pasan binary, quien binary, llaves array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def vigentes(cambios: DataFrame) -> DataFrame:

@@ -40,3 +40,23 @@ def test_files_out_of_order(spark, tmp_path):
     cambios = spark.read.parquet(f"{tmp_path}/d")
     assert cambios.where("cambio < 0").count() > 0
     assert sorted(r.id for r in continuas.vigentes(cambios).collect()) == sorted(r.id for r in dedup_24h(spark, SF).collect())
+
+
+def test_keys_share_groups_of_state(spark, tmp_path, monkeypatch):
+    """Few groups hold all keys, a null user or type is a key of its own, and a restart finds them again."""
+    monkeypatch.setattr(continuas, "PARTES", 4)
+    e = table(spark, SF, "events")
+    nulo = lambda c, k, tipo: F.when(F.col("event_id") % k != 0, F.col(c)).cast(tipo).alias(c)
+    todos = e.select(*[nulo(c, *{"user_id": (7, "long"), "event_type": (5, "string")}[c]) if c in ("user_id", "event_type") else c for c in e.columns]).cache()
+    for k in (2, 0, 1):
+        todos.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+        salida = continuas.admitir(continuas.eventos(spark, f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/d")
+        salida.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    want, ultimo = [], {}
+    for r in sorted(todos.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id").collect(), key=lambda r: (r.us, r.event_id)):
+        if r.us - ultimo.get(r[:2], -(1 << 62)) >= 24 * 3600 * 10**6:
+            ultimo[r[:2]] = r.us
+            want.append(r.event_id)
+    assert sorted(r.id for r in continuas.vigentes(spark.read.parquet(f"{tmp_path}/d")).collect()) == sorted(want)
+    assert None in {u for u, _ in ultimo} and len(ultimo) > 8
+    assert spark.read.format("statestore").load(f"{tmp_path}/c").count() <= 4
