@@ -86,3 +86,62 @@ def test_scores_do_not_depend_on_partitions(spark, small):
     docs = small.select("doc_id", "text")
     one, many = ({r.doc_id: r.mean_logprob for r in L.lm_score(d).collect()} for d in (docs.coalesce(1), docs.repartition(40, "text")))
     assert one == pytest.approx(many, rel=1e-4)
+
+
+@pytest.mark.parametrize("common", [0, 300])
+def test_counts_held_in_tasks_and_joined_counts_give_one_score(small, monkeypatch, common):
+    """A word's count is the same whether it is looked up in the task or joined."""
+    monkeypatch.setattr(L, "VOCABULARY", 100)
+    want = {r.doc_id: r for r in L.lm_score(small).collect()}
+    monkeypatch.setattr(L, "COMMON", common)
+    words = L.vocabulary(L.word_counts(small))
+    assert len(words.index) == 100 and (100 < len(words.place) <= common if common else len(words.place) == 100)
+    got = {r.doc_id: r for r in L.lm_score(small).collect()}
+    assert got.keys() == want.keys()
+    assert all(r.n_tokens == want[k].n_tokens and r.pseudo_logprob == pytest.approx(want[k].pseudo_logprob, rel=1e-6) for k, r in got.items())
+
+
+def test_common_words_are_no_rows_to_join(small, tmp_path):
+    """Only words whose counts no task holds go through the shuffle; a small corpus has none."""
+    rows = L.coded(small, L.vocabulary(L.word_counts(small)), str(tmp_path / "rows"))
+    assert rows.count() == small.count()
+    assert rows.selectExpr("sum(size(tail)) n").first().n == 0 < rows.selectExpr("sum(common) s").first().s
+
+
+def test_a_round_reads_its_slice_alone(small, tmp_path):
+    rows = L.coded(small, L.vocabulary(L.word_counts(small)), str(tmp_path / "rows"))
+    some = rows.groupBy("slice").count().orderBy("slice").first()
+    found = rows.where(f"slice = {some['slice']}").select("codes")
+    assert found.count() == some["count"] < rows.count()
+    read = {r.f for r in rows.selectExpr("input_file_name() f", "slice").where(f"slice = {some['slice']}").collect()}
+    assert read and all(f"/slice={some['slice']}/" in f for f in read)
+    assert "(slice#" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("size", [0.3, 40.0])
+def test_chances_and_gradient_against_plain_softmax(size):
+    """Also where a class's value is too large for exp in float32."""
+    draw = np.random.default_rng(1)
+    net = L.Network()
+    net.load(np.concatenate([draw.normal(0, size if p is net.out else 0.5, p.size) for p in net.parts]))
+    middle = draw.integers(1, L.CLASSES, 50).astype(np.uint8)
+    sides = draw.integers(0, L.CLASSES, (2 * L.WINDOW, 50)).astype(np.uint8)
+    h = np.tanh(sum(net.sides[k][s] for k, s in enumerate(sides)).astype(np.float64) + net.bias)
+    z = h @ net.out.astype(np.float64) + net.base
+    logs = z - z.max(1, keepdims=True)
+    logs -= np.log(np.exp(logs).sum(1, keepdims=True))
+    assert net.chances(sides, middle)[3] == pytest.approx(logs[np.arange(50), middle], rel=1e-3, abs=1e-3)
+    g = np.exp(logs)
+    g[np.arange(50), middle] -= 1
+    back = (g @ net.out.T) * (1 - h * h)
+    by_side = np.zeros(net.sides.shape)
+    for k, s in enumerate(sides):
+        np.add.at(by_side[k], s, back)
+    want = np.concatenate([by_side.ravel(), back.sum(0), (h.T @ g).ravel(), g.sum(0)])
+    assert net.gradient(sides, middle) == pytest.approx(want, rel=1e-3, abs=1e-3 * size)
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, small, monkeypatch, tmp_path):
+    monkeypatch.setattr(L, "shared_folder", lambda spark: str(tmp_path / "rows"))
+    assert L.lm_score(small).count() == small.count()
+    assert not list(tmp_path.iterdir())
