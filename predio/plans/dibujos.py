@@ -13,7 +13,7 @@ from predio.sources import kml
 def _piezas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placemarks of each project: its lots' outlines (no names) and labels, and a stream; in projects that 3
     divides a zone, in odd ones a road, in those that 4 divides a border as a plain line."""
-    p = parcelas(spark, sf_dir).where("proyecto_id < 12")
+    p = parcelas(spark, sf_dir)
     x, y = F.lit(-72.0) + F.col("id") * 0.001, F.lit(-34.0) - F.col("proyecto_id") * 0.01
     en = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
     cuadro = F.array(en(0, 0), en(0.0005, 0), en(0.0005, 0.0005), en(0, 0.0005))
@@ -44,7 +44,7 @@ def kml_leido(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"kml_leido": kml_leido}
 ORACLES = {
     "kml_leido": f"""
-  WITH p AS (SELECT id, etapa, proyecto_id AS k, -72.0::DOUBLE + id * 0.001::DOUBLE AS x, -34.0::DOUBLE - proyecto_id * 0.01::DOUBLE AS y, proyecto_id % 4 = 0 AS es_cad FROM {PARCELAS_SQL} WHERE proyecto_id < 12),
+  WITH p AS (SELECT id, etapa, proyecto_id AS k, -72.0::DOUBLE + id * 0.001::DOUBLE AS x, -34.0::DOUBLE - proyecto_id * 0.01::DOUBLE AS y, proyecto_id % 4 = 0 AS es_cad FROM {PARCELAS_SQL}),
   d AS (SELECT k, es_cad, -72.0::DOUBLE + min(id) * 0.001::DOUBLE AS x, min(y) AS y FROM p GROUP BY k, es_cad),
   r AS (
     SELECT 'lote' AS clase, '' AS nombre, NULL AS lote, NULL AS etapa, id % 29 <> 0 AS en_venta, es_cad, 4 AS n, x, y FROM p

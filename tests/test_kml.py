@@ -132,3 +132,14 @@ def test_plain_files_do_not_pass_through_python(spark, tmp_path):
     plan = a._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "isValid()" in plan
     assert [tuple(r)[1:] for r in a.collect()] == [("<kml/>", None)]
+
+
+def test_every_project_is_drawn(spark):
+    from predio.plans import dibujos
+
+    sf = "/root/testdata/sf0.001"
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), F.pmod("p_partkey", F.lit(25)).alias("proyecto_id"))
+    d = dibujos.kml_leido(spark, sf)
+    got = {r.clase: r["count"] for r in d.groupBy("clase").count().collect()}
+    assert got["lote"] == got["etiqueta"] == p.count() and got["etapa"] == got["agua"] == p.select("proyecto_id").distinct().count() == 25
+    assert {r.etapa for r in d.where("clase = 'etapa'").collect()} == set(range(25))
