@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from predio.plans.vistas import PARCELAS_SQL, parcelas
-from predio.session import shared_folder
+from predio.session import dealt, shared_folder
 from predio.sources import kml
 
 
 def _piezas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placemarks of each project: its lots' outlines (no names) and labels, and a stream; in projects that 3
     divides a zone, in odd ones a road, in those that 4 divides a border as a plain line."""
-    p = parcelas(spark, sf_dir)
+    p = dealt(parcelas(spark, sf_dir).select("id", "proyecto_id", "etapa"))
     x, y = F.lit(-72.0) + F.col("id") * 0.001, F.lit(-34.0) - F.col("proyecto_id") * 0.01
     en = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
     cuadro = F.array(en(0, 0), en(0.0005, 0), en(0.0005, 0.0005), en(0, 0.0005))
@@ -33,10 +33,10 @@ def _piezas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kml_leido(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is in the drawings once they were written, one file for each project, and read again."""
-    carpeta = f"{shared_folder(spark)}/dibujos"
-    docs = _piezas(spark, sf_dir).groupBy("proyecto_id").agg(F.collect_list("xml").alias("piezas"))
-    docs.select(kml.documento(F.concat(F.lit("Loteo "), F.col("proyecto_id")), F.col("piezas")).alias("value")).write.option("maxRecordsPerFile", 1).text(carpeta)
-    d = kml.dibujo(kml.rasgos(kml.archivos(spark, f"{carpeta}/*.txt")))
+    carpeta = shared_folder(spark)
+    kml.escribir(_piezas(spark, sf_dir), "proyecto_id", F.concat(F.lit("Loteo "), F.col("proyecto_id")), f"{carpeta}/dibujos")
+    kml.rasgos(kml.trozos(spark, f"{carpeta}/dibujos/*/*.txt")).write.parquet(f"{carpeta}/rasgos")  # what a shape is takes them three times
+    d = kml.dibujo(spark.read.parquet(f"{carpeta}/rasgos"))
     uno = F.get("puntos", F.lit(0))
     return d.select("clase", "nombre", "lote", "etapa", "en_venta", "es_cad", F.size("puntos").alias("n"), F.round(uno["x"], 6).alias("x"), F.round(uno["y"], 6).alias("y"))
 

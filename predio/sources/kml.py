@@ -1,6 +1,7 @@
 """Drawings as KML or KMZ files, to tables.
 
-Files are read as binary rows and unpacked one by one; a drawing's placemarks become rows at once, so
+Files are read as binary rows and unpacked one by one (`archivos`), or plain ones in pieces of one placemark, so
+that a drawing may be larger than a task's memory (`trozos`); a drawing's placemarks become rows at once, so
 what follows is spread over tasks whatever the size of a drawing. Placemarks are read with Spark's XML
 functions. What can't be read ends in `rechazados`, with its reason, and stops nothing.
 
@@ -17,20 +18,24 @@ a point with a broken number is left out.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from predio.functions import texto
+from predio.functions import espacio, texto
+from predio.session import shared_folder
 
 #: Names that tell what a placemark is (fixed values: words that must match).
 AGUA = r"(?iu)^\s*(estero|r[ií]o|quebrada|canal|arroyo|acequia|vertiente)(?![\p{L}\p{N}_])"
 ZONA = r"(?iu)^\s*((zona\s+(de|protegida)|[aá]reas?\s+(verdes?|de)|reserva|conservaci[oó]n)(?![\p{L}\p{N}_])|bosque\s+nativo(?![\p{L}\p{N}_]))"
 CAMINO = r"(?iu)^\s*(servidumbres?|caminos?|accesos?)(?![\p{L}\p{N}_])"
 NO_EN_VENTA = "NO EN VENTA"
+#: What ends a piece of a plain file.
+FIN = "</Placemark>"
 _TRAZO = "struct<coordinates:string>"
 _POLIGONO = f"struct<outerBoundaryIs:struct<LinearRing:{_TRAZO}>,innerBoundaryIs:array<struct<LinearRing:{_TRAZO}>>>"
 _FORMAS = {"Point": f"array<{_TRAZO}>", "LineString": f"array<{_TRAZO}>", "Polygon": f"array<{_POLIGONO}>"}
@@ -40,7 +45,7 @@ MARCA = ", ".join(f"{k} {v}" for k, v in _CAMPOS.items())
 ESTILO = "_id string, LineStyle struct<color:string>, PolyStyle struct<color:string>, Pair array<struct<key:string,styleUrl:string>>, _mala string"
 
 
-def archivos(spark: SparkSession, ruta: str) -> DataFrame:
+def archivos(spark: SparkSession, ruta: str | list[str]) -> DataFrame:
     """archivo, kml, motivo (why there is no KML): one row per file. Only archives and text that isn't UTF-8 go to Python, where
     a file stands in memory several times."""
 
@@ -67,6 +72,37 @@ def archivos(spark: SparkSession, ruta: str) -> DataFrame:
     return llanos.unionByName(leidos.where(~llano).mapInArrow(abrir, "archivo string, kml string, motivo string"))
 
 
+def trozos(spark: SparkSession, ruta: str) -> DataFrame:
+    """archivo, trozo, kml, motivo: as archivos(), but a plain file is a row for each placemark, with its place in the file as
+    `trozo`, and what follows the last one. The pieces are written once, so that their places don't depend on
+    how a later job splits the files. A file that can't be cut so stays one row: an archive, any other name than .kml or .txt,
+    text that isn't UTF-8, comments over more than one piece, placemarks with prefixes or without an end."""
+    carpeta = f"{shared_folder(spark)}/trozos"
+    valor, fuera = F.col("value"), F.regexp_replace("value", r"(?s)<!--.*?-->", "")
+    entera = valor.startswith("PK") | ~F.is_valid_utf8("value") | fuera.contains("<!--")
+    leidas = spark.read.option("lineSep", FIN).option("pathGlobFilter", "*.{[kK][mM][lL],[tT][xX][tT]}").text(ruta).select(F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("bloque"), F.monotonically_increasing_id().alias("n"), "value")
+    leidas = leidas.withColumn("una", F.size(_elementos(F.concat("value", F.lit(FIN)), "Placemark")) == 1).withColumn("entera", entera)
+    leidas.withColumn("value", F.when(~F.col("entera"), valor)).write.parquet(carpeta)
+    filas = spark.read.parquet(carpeta)
+    # a piece's place: the rows of its file's blocks before, and of its block; only a file's last piece is without a placemark
+    bloques = filas.groupBy("archivo", "bloque").agg(F.min("n").alias("primera"), F.count("*").alias("filas"), F.count_if(~F.col("una")).alias("sin"), F.max_by("una", "n").alias("ultima"), F.bool_or("entera").alias("entera"))
+    w = Window.partitionBy("archivo")
+    bloques = bloques.select("archivo", "bloque", "primera", F.coalesce(F.sum("filas").over(w.orderBy("bloque").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("antes"), F.sum("filas").over(w).alias("todas"), "sin", "ultima", "entera")
+    sirve = ~F.bool_or("entera").over(w) & (F.sum("sin").over(w) == 1) & ~F.max_by("ultima", "bloque").over(w)
+    # _metadata writes names as addresses
+    nombres = spark.read.format("binaryFile").load(ruta).select("path", F.col("_metadata.file_path").alias("archivo"))
+    bloques = nombres.join(bloques.select("archivo", "bloque", "primera", "antes", "todas", sirve.alias("sirve")), "archivo", "left")
+    bloques.write.parquet(f"{carpeta}-bloques")
+    bloques = spark.read.parquet(f"{carpeta}-bloques")
+    lugar = F.col("antes") + F.col("n") - F.col("primera")
+    en_trozos = filas.join(bloques.where("sirve"), ["archivo", "bloque"]).select(F.col("path").alias("archivo"), lugar.alias("trozo"), F.concat("value", F.when(lugar < F.col("todas") - 1, FIN).otherwise("")).alias("kml"), F.lit(None).cast("string").alias("motivo"))
+    # names only; the driver has listed them all before
+    resto = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r.path) for r in bloques.where("not coalesce(sirve, false)").select("path").distinct().collect()]
+    if not resto:
+        return en_trozos
+    return en_trozos.unionByName(archivos(spark, resto).withColumn("trozo", F.lit(0).cast("long")))
+
+
 def _elementos(kml: Column, nombre: str) -> Column:
     """The source of every element of that name, outermost ones, without prefixes; comments left out."""
     limpio = F.regexp_replace(F.regexp_replace(kml, r"(?s)<!--.*?-->", ""), r"<(/?)[A-Za-z_][\w.-]*:(?=[A-Za-z])", "<$1")
@@ -75,12 +111,12 @@ def _elementos(kml: Column, nombre: str) -> Column:
 
 def puntos(coordenadas: Column, cerrado: bool = False) -> Column:
     """array<struct<x, y>> (longitude, latitude) of a coordinates text; an outline without its repeated end."""
-    partes = F.filter(F.split(F.trim(F.coalesce(coordenadas, F.lit(""))), r"\s+"), lambda t: t.contains(","))
-    xy = F.transform(partes, lambda t: F.struct(F.get(F.split(t, ","), F.lit(0)).try_cast("double").alias("x"), F.get(F.split(t, ","), F.lit(1)).try_cast("double").alias("y")))
+    partes = F.transform(F.split(F.trim(F.coalesce(coordenadas, F.lit(""))), r"\s+"), lambda t: F.split(t, ","))
+    xy = F.transform(partes, lambda t: F.struct(F.get(t, F.lit(0)).try_cast("double").alias("x"), F.get(t, F.lit(1)).try_cast("double").alias("y")))
     sanos = F.filter(xy, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     if not cerrado:
         return sanos
-    return F.when((F.size(sanos) > 2) & (F.get(sanos, F.lit(0)) == F.element_at(sanos, -1)), F.slice(sanos, 1, F.size(sanos) - 1)).otherwise(sanos)
+    return espacio._con(sanos, lambda s: F.when((F.size(s) > 2) & (F.get(s, F.lit(0)) == F.element_at(s, -1)), F.slice(s, 1, F.size(s) - 1)).otherwise(s))
 
 
 def _todas(m: Column, forma: str) -> Column:
@@ -95,7 +131,7 @@ def _todas(m: Column, forma: str) -> Column:
 
 def _colores(kmls: DataFrame) -> DataFrame:
     """archivo, estilo, color (aabbggrr): a line's color or else the filling's; of a map that of its normal style."""
-    leer = lambda nombre: kmls.select("archivo", F.explode(_elementos(F.col("kml"), nombre)).alias("x")).select("archivo", F.from_xml("x", ESTILO, {"rowTag": nombre, "columnNameOfCorruptRecord": "_mala"}).alias("e"))
+    leer = lambda nombre: kmls.where(F.contains("kml", F.lit(nombre))).select("archivo", F.explode(_elementos(F.col("kml"), nombre)).alias("x")).select("archivo", F.from_xml("x", ESTILO, {"rowTag": nombre, "columnNameOfCorruptRecord": "_mala"}).alias("e"))
     propios = leer("Style").where("e._id is not null").select("archivo", F.col("e._id").alias("estilo"), F.upper(F.trim(F.coalesce("e.LineStyle.color", "e.PolyStyle.color"))).alias("color")).where("color <> ''")
     propios = propios.groupBy("archivo", "estilo").agg(F.max("color").alias("color"))
     normal = F.get(F.filter("e.Pair", lambda p: p["key"] == "normal"), F.lit(0))["styleUrl"]
@@ -105,14 +141,17 @@ def _colores(kmls: DataFrame) -> DataFrame:
 
 
 def marcas(kmls: DataFrame) -> DataFrame:
-    """archivo, orden, xml and m (its fields) of every placemark of archivos(); m._mala if it isn't XML."""
-    cada = kmls.where("kml is not null").select("archivo", F.posexplode(_elementos(F.col("kml"), "Placemark")).alias("orden", "xml"))
+    """archivo, orden, xml and m (its fields) of every placemark of archivos() or trozos(); m._mala if it isn't XML."""
+    antes = [F.col("trozo")] if "trozo" in kmls.columns else []
+    cada = kmls.where("kml is not null").select("archivo", *antes, F.posexplode(_elementos(F.col("kml"), "Placemark")).alias("orden", "xml"))
+    cada = cada.withColumn("orden", sum(antes, F.col("orden")))
     return cada.select("archivo", "orden", "xml", F.from_xml("xml", MARCA, {"rowTag": "Placemark", "columnNameOfCorruptRecord": "_mala"}).alias("m"))
 
 
 def rechazados(kmls: DataFrame) -> DataFrame:
     """archivo, orden (null: the whole file), motivo."""
-    entero = kmls.where("kml is null or not rlike(kml, '<[^>]*\\\\bkml\\\\b')").select("archivo", F.lit(None).cast("int").alias("orden"), F.coalesce("motivo", F.lit("no kml element")).alias("motivo"))
+    entero = kmls.groupBy("archivo").agg(F.bool_or(F.coalesce(F.rlike("kml", F.lit(r"<[^>]*\bkml\b")), F.lit(False))).alias("es"), F.max("motivo").alias("motivo"))
+    entero = entero.where("not es").select("archivo", F.lit(None).cast("int").alias("orden"), F.coalesce("motivo", F.lit("no kml element")).alias("motivo"))
     return entero.unionByName(marcas(kmls).where("m._mala is not null or m is null").select("archivo", "orden", F.lit("broken placemark").alias("motivo")))
 
 
@@ -131,9 +170,8 @@ def rasgos(kmls: DataFrame) -> DataFrame:
     base = sanas.select("archivo", "orden", texto_de("m.name").alias("nombre"), texto_de("m.description").alias("descripcion"), F.regexp_replace(texto_de("m.styleUrl"), "^#+", "").alias("estilo"), propio.alias("propio"), *[F.filter(x, lambda s: F.size(s["puntos"]) > 0).alias(n) for n, x in (("l", linea), ("a", area), ("p", punto))])
     con = base.join(_colores(kmls.where("kml is not null")), ["archivo", "estilo"], "left")
     color = F.when(F.col("estilo") != "", F.col("color")).otherwise(F.col("propio"))
-    datos = ["archivo", "orden", "nombre", "descripcion", color.alias("color")]
-    cada = [con.select(*datos, F.posexplode(n).alias("parte", "s")) for n in ("l", "a", "p")]
-    return cada[0].unionByName(cada[1]).unionByName(cada[2]).select("archivo", "orden", "parte", "s.tipo", F.col("descripcion").alias("capa"), "nombre", "descripcion", "color", "s.puntos", "s.huecos")
+    formas = F.concat(*[F.transform(n, lambda s, i: F.struct(i.alias("parte"), s["tipo"].alias("tipo"), s["puntos"].alias("puntos"), s["huecos"].alias("huecos"))) for n in ("l", "a", "p")])
+    return con.select("archivo", "orden", "nombre", "descripcion", color.alias("color"), F.inline(formas)).select("archivo", "orden", "parte", "tipo", F.col("descripcion").alias("capa"), "nombre", "descripcion", "color", "puntos", "huecos")
 
 
 def dibujo(formas: DataFrame) -> DataFrame:
@@ -203,9 +241,23 @@ def marca(nombre: Column, descripcion: Column, tipo: Column, pts: Column) -> Col
     return F.concat(F.lit("<Placemark><name>"), escapado(nombre), F.lit("</name><description>"), escapado(descripcion), F.lit("</description>"), F.when(tipo == "A", anillo).when(tipo == "L", linea).otherwise(punto), F.lit("</Placemark>"))
 
 
+def _principio(nombre: Column) -> Column:
+    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>'), escapado(nombre), F.lit("</name>"))
+
+
 def documento(nombre: Column, piezas: Column) -> Column:
     """A whole KML document of an array of placemarks."""
-    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>'), escapado(nombre), F.lit("</name>"), F.array_join(piezas, ""), F.lit("</Document></kml>"))
+    return F.concat(_principio(nombre), F.array_join(piezas, ""), F.lit("</Document></kml>"))
+
+
+def escribir(piezas: DataFrame, dibujo: str, nombre: Column, carpeta: str) -> None:
+    """One document, as documento() makes it, for each value of the column `dibujo` of piezas (dibujo, xml), in a folder of
+    its own. Written a placemark a line by one task, which holds none of it: a drawing may be larger than its memory."""
+    cada = piezas.select(dibujo).distinct()
+    lineas = piezas.select(dibujo, F.lit(1).alias("lugar"), F.col("xml").alias("value"))
+    for lugar, borde in ((0, _principio(nombre)), (2, F.lit("</Document></kml>"))):
+        lineas = lineas.unionByName(cada.select(dibujo, F.lit(lugar).alias("lugar"), borde.alias("value")))
+    lineas.repartition(dibujo).sortWithinPartitions(dibujo, "lugar").drop("lugar").write.partitionBy(dibujo).text(carpeta)
 
 
 def geojson(propiedades: Column, tipo: Column, pts: Column) -> Column:

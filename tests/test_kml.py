@@ -143,3 +143,50 @@ def test_every_project_is_drawn(spark):
     got = {r.clase: r["count"] for r in d.groupBy("clase").count().collect()}
     assert got["lote"] == got["etiqueta"] == p.count() and got["etapa"] == got["agua"] == p.select("proyecto_id").distinct().count() == 25
     assert {r.etapa for r in d.where("clase = 'etapa'").collect()} == set(range(25))
+
+
+def formas(archivos):
+    return sorted((r.archivo.rsplit("/", 1)[1], *r[1:]) for r in kml.dibujo(kml.rasgos(archivos)).drop("color", "huecos").collect())
+
+
+def test_plain_files_in_pieces_are_the_same(spark, tmp_path):
+    dos = punto("LOTE 1", desplazar(0, 0)) + "<Placemark><name>roto</nam></Placemark>" + linea("Estero ñ", cuadrado(0, 0), "<styleUrl>#r</styleUrl>")
+    estilo = '<Style id="r"><LineStyle><color>ff0000ff</color></LineStyle></Style>'
+    entero = doc(estilo + "<!-- una nota -->" + dos + poligono(cuadrado(0, 0), nombre="Zona de paso") + punto("LOTE 2", desplazar(1, 1)))
+    casos = {
+        "llano.kml": entero, "con blanco [1].txt": entero, "nota larga.kml": doc(dos.replace("<name>roto", "<!-- <name>x</Placemark> --><name>roto")), "cortado.kml": entero[: entero.rindex("</Placemark>")], "sin fin.kml": entero[: entero.rindex("</Placemark>") + 12],
+        "prefijo.kml": doc(dos).replace("<Placemark", "<k:Placemark").replace("</Placemark", "</k:Placemark"), "separado.kml": doc(dos).replace("</Placemark>", "</Placemark >"), "vacio.kml": "", "nada.kml": doc(""), "otro.dat": entero, "hola.kml": "hola",
+    }
+    for nombre, cuerpo in casos.items():
+        (tmp_path / nombre).write_text(cuerpo)
+    (tmp_path / "bytes.kml").write_bytes(entero.encode().replace(b"Zona", b"Z\xffona"))
+    for nombre in ("a.kmz", "a.kml"):
+        with zipfile.ZipFile(tmp_path / nombre, "w") as z:
+            z.writestr("doc.kml", entero)
+    uno, otro = kml.archivos(spark, str(tmp_path)), kml.trozos(spark, str(tmp_path))
+    assert formas(otro) == formas(uno) and formas(uno)
+    colores = lambda k: sorted(str(r.color) for r in kml.rasgos(k).collect())
+    assert colores(otro) == colores(uno)
+    malos = lambda k: sorted((r.archivo.rsplit("/", 1)[1], -1 if r.orden is None else r.orden, r.motivo) for r in kml.rechazados(k).collect())
+    assert malos(otro) == malos(uno)
+    filas = {r.archivo.rsplit("/", 1)[1]: r["count"] for r in otro.groupBy("archivo").count().collect()}
+    assert filas["llano.kml"] == 6 and filas["a.kmz"] == filas["prefijo.kml"] == filas["bytes.kml"] == 1 and filas.keys() == {r.archivo.rsplit("/", 1)[1] for r in uno.collect()}
+
+
+def test_a_drawing_is_never_one_row(spark, tmp_path):
+    """Written in order, read in many tasks, and no row has more than one placemark."""
+    marca = kml.marca(F.concat(F.lit("LOTE "), F.col("id")), F.lit("ñ"), F.lit("P"), F.array(F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))))
+    kml.escribir(spark.range(20_000).select((F.col("id") % 2).alias("k"), marca.alias("xml")), "k", F.concat(F.lit("L\n& "), F.col("k")), f"{tmp_path}/d")
+    assert len(list((tmp_path / "d").glob("*/*.txt"))) == 2
+    antes = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        t = kml.trozos(spark, f"{tmp_path}/d/*/*.txt")
+        assert t.agg(F.max(F.length("kml"))).first()[0] < 400
+        r = kml.rasgos(t)
+        assert r.count() == r.select("archivo", "orden").distinct().count() == r.select("nombre").distinct().count() == 20_000
+        assert [tuple(x) for x in r.groupBy("archivo").agg(F.min("orden"), F.max("orden")).select(F.col("min(orden)"), F.col("max(orden)")).collect()] == [(0, 9999)] * 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", antes)
+    uno = {(x.nombre, x.orden) for x in kml.rasgos(kml.archivos(spark, f"{tmp_path}/d/*/*.txt")).collect()}
+    assert uno == {(x.nombre, x.orden) for x in r.collect()} and kml.rechazados(t).count() == 0
