@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from predio.functions import espacio
 from predio.plans.medidas import _lotes_geo
@@ -13,6 +17,10 @@ from predio.session import dealt
 CELDA = 50.0
 #: Parts of a cell's outlines that meet the cell in different tasks.
 PARTES = 16
+#: About so many outlines of a cell meet so many others in one call, and about so many pairs are clipped at once.
+BLOQUE, LOTE = 1000, 50_000
+#: Least shared area in square metres.
+TRAZA = 1e-6
 #: Where a candidate lies against the truth in the test table: metres east and north.
 CORRIDO = (3.0, -2.0)
 
@@ -22,6 +30,13 @@ def _caja(anillo: Column) -> dict[str, Column]:
     return {"x0": lado(F.array_min, "x"), "x1": lado(F.array_max, "x"), "y0": lado(F.array_min, "y"), "y1": lado(F.array_max, "y")}
 
 
+def _por_celdas(lotes: DataFrame, grupo: str, id: str, celda: float) -> DataFrame:  # noqa: A002
+    """grupo, id, anillo and its bounds, under every cell that they touch."""
+    c = lotes.select(F.col(grupo), F.col(id).alias("id"), "anillo").withColumns(_caja(F.col("anillo")))
+    en = lambda v: F.floor(v / celda).cast("long")
+    return c.withColumn("cx", F.explode(F.sequence(en(F.col("x0")), en(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(en(F.col("y0")), en(F.col("y1")))))
+
+
 def pares(lotes: DataFrame, grupo: str, id: str, celda: float = CELDA) -> DataFrame:  # noqa: A002
     """Pairs (a before b) of outlines of one group whose bounds meet: grupo, a, b, anillo_a, anillo_b.
 
@@ -29,9 +44,8 @@ def pares(lotes: DataFrame, grupo: str, id: str, celda: float = CELDA) -> DataFr
     that of the lower left corner of what their bounds share. A cell's outlines are dealt over PARTES tasks, each of
     which has all of the cell's others, so that a crowded cell isn't one task.
     """
-    c = lotes.select(F.col(grupo), F.col(id).alias("id"), "anillo").withColumns(_caja(F.col("anillo")))
     en = lambda v: F.floor(v / celda).cast("long")
-    por = c.withColumn("cx", F.explode(F.sequence(en(F.col("x0")), en(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(en(F.col("y0")), en(F.col("y1")))))
+    por = _por_celdas(lotes, grupo, id, celda)
     lado = lambda s, parte: por.select(grupo, "cx", "cy", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "anillo", "x0", "x1", "y0", "y1")], parte.alias("parte"))
     clave = [grupo, "cx", "cy", "parte"]
     a = dealt(lado("a", F.pmod(F.xxhash64("id"), F.lit(PARTES)).cast("int")), *clave)
@@ -41,9 +55,133 @@ def pares(lotes: DataFrame, grupo: str, id: str, celda: float = CELDA) -> DataFr
     return j.where(suya).select(grupo, F.col("id_a").alias("a"), F.col("id_b").alias("b"), "anillo_a", "anillo_b")
 
 
-def solapes(lotes: DataFrame, grupo: str, id: str) -> DataFrame:  # noqa: A002
-    """Pairs of one group that share more than a trace, with the shared area."""
-    return pares(lotes, grupo, id).select(grupo, "a", "b", espacio.traslape(F.col("anillo_a"), F.col("anillo_b")).alias("m2")).where("m2 > 1e-6")
+def _esquinas(anillos: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x and y of rings, a column each and padded, and how many corners they have."""
+    n = pc.fill_null(pc.list_value_length(anillos), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    puntos, k = anillos.flatten(), np.arange(n.max(initial=0))[:, None]
+    en = np.where(k < n, np.cumsum(n) - n + k, 0)
+    x, y = (pc.fill_null(puntos.field(c).cast("double"), np.nan).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+    return (x[en], y[en], n) if len(x) else (np.zeros(en.shape), np.zeros(en.shape), n)
+
+
+def _siguiente(v: np.ndarray, n: np.ndarray, pasos: int = 1) -> np.ndarray:
+    """Each corner's value so many corners on."""
+    k = np.arange(len(v))[:, None]
+    return np.take_along_axis(v, np.where(k < n, (k + pasos) % np.maximum(n, 1), 0), 0)
+
+
+def _signadas(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Areas with the sign of the turn, as espacio sums them."""
+    v = np.where(np.arange(len(x))[:, None] < n, x * _siguiente(y, n) - _siguiente(x, n) * y, 0.0)
+    suma = np.zeros(x.shape[1])
+    for lado in v:
+        suma += lado
+    return suma / 2
+
+
+def _planos(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """espacio.lados_convexos; sides that a ring hasn't leave everything inside."""
+    giro, hay = np.sign(_signadas(x, y, n)), np.arange(len(x))[:, None] < n
+    a, b = (np.where(hay, giro * v, 0.0) for v in (y - _siguiente(y, n), _siguiente(x, n) - x))
+    return a, b, np.where(hay, -(a * x + b * y), 0.0)
+
+
+def _convexos(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """espacio.es_convexo."""
+    (x1, x2), (y1, y2) = ([_siguiente(v, n, p) for p in (1, 2)] for v in (x, y))
+    giro = np.where(np.arange(len(x))[:, None] < n, (x1 - x) * (y2 - y1) - (y1 - y) * (x2 - x1), 0.0)
+    return (n >= 3) & (_signadas(x, y, n) != 0) & ((giro >= 0).all(0) | (giro <= 0).all(0))
+
+
+def _areas_recortadas(x: np.ndarray, y: np.ndarray, n: np.ndarray, planos: tuple[np.ndarray, ...]) -> np.ndarray:
+    """espacio.area of what espacio.recortar leaves of each ring inside its half planes: the same steps, pair beside pair."""
+    for a, b, c in zip(*planos):
+        s = a * x + b * y + c
+        dentro = s >= 0
+        ultima = np.maximum(n - 1, 0)[None, :]
+        px, py, ps, pd = (np.take_along_axis(v, ultima, 0)[0] for v in (x, y, s, dentro))
+        qx, qy, m = np.zeros((2 * len(x), len(n))), np.zeros((2 * len(x), len(n))), np.zeros(len(n), np.int64)
+        for k in range(len(x)):
+            hay = k < n
+            i = np.flatnonzero(hay & (dentro[k] != pd))
+            t = ps[i] / (ps[i] - s[k, i])
+            qx[m[i], i], qy[m[i], i] = px[i] + t * (x[k, i] - px[i]), py[i] + t * (y[k, i] - py[i])
+            m[i] += 1
+            i = np.flatnonzero(hay & dentro[k])
+            qx[m[i], i], qy[m[i], i] = x[k, i], y[k, i]
+            m[i] += 1
+            px, py, ps, pd = x[k], y[k], s[k], dentro[k]
+        ancho = max(int(m.max(initial=0)), 1)
+        x, y, n = qx[:ancho], qy[:ancho], m
+    return np.where(n < 3, 0.0, np.abs(_signadas(x, y, n)))
+
+
+def _traslapes(x: np.ndarray, y: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """espacio.traslape of rings a[i] and b[i]: one clipped by the other if that is convex, else over the triangles of both."""
+    total, convexo, hay = np.zeros(len(a)), _convexos(x, y, n), (n[a] >= 3) & (n[b] >= 3)
+    planos = _planos(x, y, n)
+    de = lambda i, por: _areas_recortadas(x[:, i], y[:, i], n[i], tuple(p[:, por] for p in planos))
+    por_b, por_a = hay & convexo[b], hay & convexo[a] & ~convexo[b]
+    total[por_b], total[por_a] = de(a[por_b], b[por_b]), de(b[por_a], a[por_a])
+    resto = np.flatnonzero(hay & ~convexo[a] & ~convexo[b])
+
+    def triangulos(i: np.ndarray):
+        for k in range(1, int(n[i].max(initial=0)) - 1):
+            tx, ty = x[:, i][[0, k, k + 1]], y[:, i][[0, k, k + 1]]
+            tres = np.full(len(i), 3)
+            yield tx, ty, tres, np.where(k + 1 < n[i], np.sign(_signadas(tx, ty, tres)), 0.0)
+
+    if len(resto):
+        suma = np.zeros(len(resto))
+        for tx, ty, tres, s in triangulos(a[resto]):
+            for hx, hy, _, h in triangulos(b[resto]):
+                suma += s * h * np.where(s * h != 0, _areas_recortadas(tx, ty, tres, _planos(hx, hy, tres)), 0.0)
+        total[resto] = np.abs(suma)
+    return total
+
+
+def solapes(lotes: DataFrame, grupo: str, id: str, celda: float = CELDA, bloque: int = BLOQUE) -> DataFrame:  # noqa: A002
+    """Pairs of one group that share more than a trace, with the shared area: grupo, a (the lesser id), b, m2.
+
+    The pairs are those of pares(). A cell's outlines are dealt into parts of about `bloque`, so many that none is larger
+    however crowded the cell, and every two parts meet in a call of their own, where numpy clips many pairs at once.
+    """
+    por = dealt(_por_celdas(lotes, grupo, id, celda)).where(F.col(grupo).isNotNull() & F.col("id").isNotNull())
+    cuantas = por.groupBy(grupo, "cx", "cy").agg(F.ceil(F.count("*") / bloque).cast("int").alias("partes"))
+    con = por.join(cuantas, [grupo, "cx", "cy"]).withColumn("parte", F.pmod(F.xxhash64("id"), F.col("partes")).cast("int"))
+    con = con.withColumn("otra", F.explode(F.sequence(F.lit(0), F.col("partes") - 1)))
+    con = con.withColumns({"i": F.least("parte", "otra"), "j": F.greatest("parte", "otra")}).drop("otra", "partes")
+
+    def cruzar(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        col = lambda c: t[c].to_numpy()
+        lista = t["anillo"].combine_chunks() if t["anillo"].num_chunks != 1 else t["anillo"].chunk(0)
+        x, y, n = _esquinas(lista)
+        orden = pc.rank(t["id"], tiebreaker="dense").to_numpy()
+        x0, x1, y0, y1, cx, cy, parte = (col(c) for c in ("x0", "x1", "y0", "y1", "cx", "cy", "parte"))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        u, v = np.flatnonzero(parte == i), np.flatnonzero(parte == j)
+        a, b, m2 = [], [], []
+        for desde in range(0, len(u), max(1, LOTE // max(len(v), 1))):
+            w = u[desde : desde + max(1, LOTE // max(len(v), 1))][:, None]
+            suya = (np.floor(np.maximum(x0[w], x0[v]) / celda) == cx[0]) & (np.floor(np.maximum(y0[w], y0[v]) / celda) == cy[0])
+            toca = suya & (x0[w] <= x1[v]) & (x0[v] <= x1[w]) & (y0[w] <= y1[v]) & (y0[v] <= y1[w])
+            r, s = np.nonzero(toca & ((orden[w] < orden[v]) if i == j else (orden[w] != orden[v])))
+            p, q = w[r, 0], v[s]
+            p, q = np.where(orden[p] < orden[q], p, q), np.where(orden[p] < orden[q], q, p)
+            with np.errstate(all="ignore"):
+                comun = _traslapes(x, y, n, p, q)
+            queda = comun > TRAZA
+            a.append(p[queda])
+            b.append(q[queda])
+            m2.append(comun[queda])
+        a, b, m2 = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b, m2))
+        return pa.table({grupo: t[grupo].take(pa.array(a)), "a": t["id"].take(pa.array(a)), "b": t["id"].take(pa.array(b)), "m2": pa.array(m2, pa.float64())})
+
+    tipos = con.schema
+    salida = T.StructType([T.StructField(grupo, tipos[grupo].dataType), T.StructField("a", tipos["id"].dataType), T.StructField("b", tipos["id"].dataType), T.StructField("m2", T.DoubleType())])
+    clave = [grupo, "cx", "cy", "i", "j"]
+    return dealt(con, *clave).groupBy(*clave).applyInArrow(cruzar, salida)
 
 
 def comparar(candidato: DataFrame, real: DataFrame, clave: list[str]) -> DataFrame:

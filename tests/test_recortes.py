@@ -133,3 +133,32 @@ def test_a_crowded_cell_is_not_one_task(spark):
     p = recortes.pares(spark.range(0, 100, 1, 1).select("id", (F.col("id") % 1).alias("g"), anillo.alias("anillo")), "g", "id")
     por_tarea = [r["count"] for r in p.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(por_tarea) == 4950 and max(por_tarea) < 2500
+
+
+def test_overlaps_in_blocks_are_those_of_the_pairs(spark, anillos):
+    """Rings of any shape, cells and parts of any size, ids as texts, lots without group or id."""
+    filas, df = anillos
+    lotes = df.select("id", "g", F.col("a").alias("anillo")).unionByName(df.select(F.col("id") + 1000, "g", "b").toDF("id", "g", "anillo"))
+    lotes = lotes.select(F.concat(F.lit("n"), "id").alias("id"), "g", "anillo")
+    lotes = lotes.unionByName(lotes.limit(5).withColumn("g", F.lit(None).cast("int"))).unionByName(lotes.limit(5).withColumn("id", F.lit(None).cast("string")))
+    junto = recortes.pares(lotes, "g", "id").select("g", "a", "b", espacio.traslape(F.col("anillo_a"), F.col("anillo_b")).alias("m2")).where("m2 > 1e-6")
+    want = {(r.g, r.a, r.b): r.m2 for r in junto.collect()}
+    for celda, bloque in ((50.0, 1000), (7.0, 3), (1000.0, 10)):
+        rows = recortes.solapes(lotes, "g", "id", celda, bloque).collect()
+        got = {(r.g, r.a, r.b): r.m2 for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert recortes.solapes(lotes.where("false"), "g", "id").count() == 0
+
+
+def test_a_crowded_drawing_in_time(spark):
+    """Two million pairs in one place: a call clips many, and none has more than a block's."""
+    import time
+
+    e = lambda i: F.rand(i) * 20
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    lotes = spark.range(2000).select("id", F.lit(1).alias("g"), e(1).alias("x"), e(2).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    lotes = lotes.select("id", "g", F.array(p(x, y), p(x + 40, y + 5), p(x + 40, y + 45), p(x, y + 40)).alias("anillo"))
+    desde = time.monotonic()
+    assert recortes.solapes(lotes, "g", "id").count() == 2000 * 1999 // 2
+    assert time.monotonic() - desde < 60
